@@ -29,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; runs the plan once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
