@@ -51,6 +51,7 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    bounds: np.ndarray | None = None  # of the texts in data, for those who need them
 
     @property
     def texts(self) -> int:
