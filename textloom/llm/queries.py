@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, mixing, neardup, quality, topk, urls
+from textloom.llm import chat, decontaminate, mixing, neardup, pieces, quality, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Dated entries of the lists that op9 evaluates: (list_id, policy, kind, pattern, action, dated).
 URL_ENTRIES = [
     ("spam", "block", "host", "www.spam-farm.example.org", "add", "2023-06-01"),
