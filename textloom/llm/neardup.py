@@ -12,7 +12,7 @@ Documents are sets of distinct ``width``-word shingles.  Two link when 100 * int
 5. Only groups that reach the bound are opened; their members are counted one by one, and the whole texts of pairs that
    still qualify are compared exactly.
 
-The order of tokens comes from a bitmap of common shingles, which a sixteenth of the classes fills.  Any order gives the
+The order of tokens comes from a bitmap of common shingles, which an eighth of the classes fills.  Any order gives the
 same links; this one keeps passages that many documents share out of the index where a text has rarer shingles.
 
 Defined results: a null, empty or wordless text has n_shingles 0 and links with nothing; with fewer than ``width`` words the
@@ -35,7 +35,7 @@ from textloom.llm.store import written
 from textloom.llm.words import distinct, mix, shingles_of, signed, slices, words_of
 
 _BITS = 26  # the bitmap of common shingles: 8 MB whatever the corpus
-_COMMON = 4  # classes of the sampled sixteenth that make a shingle common
+_COMMON = 2  # classes of the sampled eighth that make a shingle common
 _PIVOT_TEXTS = 512  # comparisons with one pivot in one piece of work
 
 
@@ -59,7 +59,7 @@ def _sampled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             values, _ = distinct(*shingles_of(words_of(part.column("text")), width))
-            yield pa.RecordBatch.from_arrays([pa.array((values >> np.uint64(64 - _BITS)).astype(np.int64))], names=["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(values))], names=["value"])
 
     return run
 
@@ -140,8 +140,9 @@ def link_components(docs: DataFrame, width: int = 5, threshold: int = 75, rounds
     reps = members.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rid"))
     texts = written(docs.join(reps.select(F.col("rid").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).mapInArrow(_sampled(width), "slot long")
-    slots = some.groupBy("slot").count().where(F.col("count") >= _COMMON).select((F.col("slot") / 8).cast("long").alias("byte"), F.expr("shiftright(128, cast(slot % 8 as int))").alias("bit"))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).mapInArrow(_sampled(width), "value long")
+    often = some.groupBy("value").count().where(F.col("count") >= _COMMON)
+    slots = often.select(F.expr(f"shiftrightunsigned(value, {64 - _BITS})").alias("slot")).distinct().select((F.col("slot") / 8).cast("long").alias("byte"), F.expr("shiftright(128, cast(slot % 8 as int))").alias("bit"))
     bitmap = np.zeros(1 << (_BITS - 3), np.uint8)  # at most 2**(_BITS - 3) bytes can be set, so many rows come at most
     for chunk in slots.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
         bitmap[chunk.column(0).to_numpy()] = chunk.column(1).to_numpy().astype(np.uint8)
@@ -160,9 +161,11 @@ def link_components(docs: DataFrame, width: int = 5, threshold: int = 75, rounds
 
     for r in range(rounds):
         grouped = index.join(groups, index.rid == groups.node, "left").select("token", "rid", "n", F.coalesce("label", "rid").alias("grp"))
-        key = grouped.groupBy("rid", "grp", "n").agg(F.min_by("token", F.xxhash64("token", F.lit(r))).alias("token"))
-        one = key.groupBy("token", "grp").agg(F.min_by(F.struct("rid", "n"), F.xxhash64("rid", F.lit(r))).alias("x"))
-        pivot = key.groupBy("token").agg(F.min_by(F.struct("rid", "n", "grp"), F.xxhash64("rid", F.lit(r))).alias("p"))
+        # in the middle of a group of near copies is the text most of whose tokens others have too
+        own = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+        key = grouped.groupBy("rid", "grp", "n").agg(F.min_by("token", F.xxhash64("token", F.lit(r))).alias("token"), F.struct(F.floor(-20 * F.count("*") / F.first(own)), F.xxhash64("rid", F.lit(r))).alias("order"))
+        one = key.groupBy("token", "grp").agg(F.min_by(F.struct("rid", "n"), "order").alias("x"))
+        pivot = key.groupBy("token").agg(F.min_by(F.struct("rid", "n", "grp"), "order").alias("p"))
         star = one.join(pivot, "token").where("grp <> p.grp").where((F.col("x.n") * 100 >= F.col("p.n") * threshold) & (F.col("p.n") * 100 >= F.col("x.n") * threshold))
         pairs = star.select(F.col("x.rid").alias("a"), F.col("p.rid").alias("b")).distinct()
         new = written(_verified(pairs, texts, width, threshold), "links")
