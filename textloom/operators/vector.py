@@ -24,8 +24,10 @@ IG, GR, X2, DF = "infogain", "gainratio", "chisquared", "df"
 def words(c: str | Column) -> Column:
     """Alphanumeric words: contractions are split off, punctuation at both ends is stripped."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(F.regexp_replace(c, r"([a-z|A-Z])'(m|s|ve|re|ll|d)\b", "$1 <QUOTE/>$2"), r"(b|c|d|gl|j|l|m|n|s|t|v)'([a-z|A-Z])", "$1<QUOTE/> $2")
-    split = F.transform(F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " "), lambda w: strip(F.replace(w, F.lit("<QUOTE/>"), F.lit("'"))))
+    mark = "\u0001"  # stands for an apostrophe that belongs to the word, while punctuation is stripped
+    s = F.regexp_replace(c, r"(?<=[A-Za-z])'(?=(?:m|s|ve|re|ll|d)\b)", f" {mark}")
+    s = F.regexp_replace(s, r"\b(b|c|d|gl|j|l|m|n|s|t|v)'(?=[A-Za-z])", f"$1{mark} ")
+    split = F.transform(F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " "), lambda w: F.replace(strip(w), F.lit(mark), F.lit("'")))
     return F.filter(split, lambda w: F.regexp_replace(w, "^'+|'+$", "").rlike(r"^[\p{L}\p{N}]+$"))
 
 
