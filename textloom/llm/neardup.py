@@ -6,7 +6,8 @@ Documents are sets of distinct ``width``-word shingles.  Two link when 100 * int
 2. Tokens are ordered (common ones last), and a set is indexed under its first n - ceil(t n) + 1 tokens: sets that link
    share one of these.  Tokens of a single set are dropped.
 3. Similar documents are put into groups: those with the same smallest (by a hash that changes each round) index token
-   are compared with one pivot, and links make groups.  What is left for later are only pairs between different groups.
+   are compared with one pivot, then with several texts of the largest group, and links make groups.  What is left for
+   later are only pairs between different groups.
 4. The matrix holds, for each token and group, whether any member is indexed under it, and the members' sizes: the
    group's token union.  A document's overlap with a group's union bounds its overlap with every member.
 5. Only groups that reach the bound are opened; their members are counted one by one, and the whole texts of pairs that
@@ -36,6 +37,7 @@ from textloom.llm.words import distinct, mix, shingles_of, signed, slices, words
 
 _BITS = 26  # the bitmap of common shingles: 8 MB whatever the corpus
 _COMMON = 2  # classes of the sampled eighth that make a shingle common
+_PIVOTS = 8  # texts that a group is compared with for each of its tokens, from the second round on
 _PIVOT_TEXTS = 512  # comparisons with one pivot in one piece of work
 
 
@@ -132,7 +134,7 @@ def _need(n: Column, m: Column, threshold: int) -> Column:
     return n - F.ceil(n * threshold / 100) + 1 - (n - overlap)
 
 
-def link_components(docs: DataFrame, width: int = 5, threshold: int = 75, rounds: int = 3) -> DataFrame:
+def link_components(docs: DataFrame, width: int = 5, threshold: int = 75, rounds: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
@@ -164,8 +166,12 @@ def link_components(docs: DataFrame, width: int = 5, threshold: int = 75, rounds
         # in the middle of a group of near copies is the text most of whose tokens others have too
         own = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
         key = grouped.groupBy("rid", "grp", "n").agg(F.min_by("token", F.xxhash64("token", F.lit(r))).alias("token"), F.struct(F.floor(-20 * F.count("*") / F.first(own)), F.xxhash64("rid", F.lit(r))).alias("order"))
+        sizes = groups.groupBy(F.col("label").alias("grp")).agg(F.count("*").alias("docs"))
+        key = key.join(sizes, "grp", "left").withColumn("order", F.struct(-F.coalesce("docs", F.lit(1)), "order")).drop("docs")
         one = key.groupBy("token", "grp").agg(F.min_by(F.struct("rid", "n"), "order").alias("x"))
-        pivot = key.groupBy("token").agg(F.min_by(F.struct("rid", "n", "grp"), "order").alias("p"))
+        # one pivot first; what it left apart then meets several texts of the largest group
+        some = F.row_number().over(Window.partitionBy("token").orderBy("order", "rid"))
+        pivot = key.withColumn("_r", some).where(F.col("_r") <= (1 if r == 0 else _PIVOTS)).select("token", F.struct("rid", "n", "grp").alias("p"))
         star = one.join(pivot, "token").where("grp <> p.grp").where((F.col("x.n") * 100 >= F.col("p.n") * threshold) & (F.col("p.n") * 100 >= F.col("x.n") * threshold))
         pairs = star.select(F.col("x.rid").alias("a"), F.col("p.rid").alias("b")).distinct()
         new = written(_verified(pairs, texts, width, threshold), "links")
