@@ -128,7 +128,7 @@ def fit(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, penalty: float = 2e
     return Model((w * scale).astype(np.float32), np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])])))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_grade: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000) -> Model:
     """Fit on a bounded sample of the rated documents; their features, not their texts, come to the driver."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
     rated = labels.select("doc_id", grade.alias("grade")).where("grade is not null")
