@@ -28,7 +28,7 @@ def test_variances(spark):
 def test_quantiles_and_histogram(spark):
     a = F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0)))
     assert one(spark, stats.quantile(a)) == 2.5
-    assert one(spark, stats.quantile(a, 0.5, 1, 0, 1, 0)) == 3.0
+    assert one(spark, stats.quantile(a, 0.5, 0.5, 0, 1, 0)) == 3.0
     assert [(r["bin"], r["n"]) for r in stats.histogram(numbers(spark, [1, 2, 3, 4, 100]), "x", 2).orderBy("bin").collect()] == [(0, 4), (1, 1)]
     assert tuple(numbers(spark, [79, 53, 82, 91, 87, 98, 80, 93]).agg(*stats.boxplot("x")).first()) == pytest.approx((53, 79.5, 84.5, 92, 98), abs=0.5)
 
