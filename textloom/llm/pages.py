@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import urls
+from textloom.llm.store import written
 from textloom.llm.words import slices
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|[^<]++|<""", re.S)
@@ -42,6 +43,7 @@ _NAMES = re.compile(
     r"disqus|reply|replies|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|overlay|notice|alert|login|search|toolbar|widget|skip|pagination|pager|copyright|legal|complementary|contentinfo|search)(?:[-_ 0-9]|s?$|$)"
 )
 _KEEP = {"article", "main"}
+_SALTS = 32  # parts of a host's pages, where they have to be dealt by host
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 
 
@@ -179,4 +181,7 @@ def extract(pages: DataFrame, least_pages: int = 8, low: float = 0.4) -> DataFra
     tree = importance(pages.select("host", "html"))
     weak = tree.where((F.col("pages") >= least_pages) & (F.greatest("content", F.col("presentation") * 0.5) < low))
     drop = weak.groupBy("host").agg(F.collect_set("path").alias("drop"))  # as many as a site has kinds of branches
-    return pages.join(drop, "host", "left").select("page_id", "url", "html", "drop").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    # written first, so that its size is known: if it is small the optimiser sends it out, else a large host's pages are dealt by a salt
+    drop = written(drop.select("host", "drop", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")), "branches")
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int"))
+    return salted.join(drop, ["host", "salt"], "left").select("page_id", "url", "html", "drop").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
