@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.llm.store import written
 from textloom.llm.words import _bytes, mix, slices, words_of
 
 BITS = 18
@@ -83,27 +84,25 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (key & np.uint64((1 << BITS) - 1)).astype(np.int64), (key >> np.uint64(BITS)).astype(np.int64)
 
 
-def _telling(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, least: float) -> np.ndarray:
-    """Which features are in documents of one grade more or less often than in the others', by ``least`` standard errors."""
-    keep = np.zeros(1 << BITS, bool)
-    df = np.bincount(x, minlength=1 << BITS)
-    for j in np.unique(grade):
-        inside = np.bincount(x[grade[owner] == j], minlength=1 << BITS)
-        n, rest = np.count_nonzero(grade == j), np.count_nonzero(grade != j)
-        p = df / len(grade)
-        spread = np.sqrt(p * (1 - p) * (1 / n + 1 / rest)) + 1e-9
-        keep |= (np.abs(inside / n - (df - inside) / rest) > least * spread) & (df >= 10)
+def _telling(counts: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Which features are in documents of one grade more or less often than in the others', by ``least`` standard errors.
+
+    counts has, for each grade, in how many documents each feature is; sizes the documents of each grade.
+    """
+    df, n = counts.sum(axis=0), sizes.sum()
+    p = df / n
+    keep = np.zeros(len(df), bool)
+    for inside, m in zip(counts, sizes, strict=True):
+        if 0 < m < n:
+            spread = np.sqrt(p * (1 - p) * (1 / m + 1 / (n - m))) + 1e-9
+            keep |= (np.abs(inside / m - (df - inside) / (n - m)) > least * spread) & (df >= 10)
     return keep
 
 
-def fit(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, penalty: float = 2e-6, steps: int = 250, least: float = 10.0) -> Model:
-    """Penalised maximum likelihood over telling features scaled by log(n / df), by full-batch Adam. Deterministic."""
+def fit(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, df: np.ndarray, penalty: float = 2e-6, steps: int = 250) -> Model:
+    """Penalised maximum likelihood over telling features x scaled by log(n / df), by full-batch Adam. Deterministic."""
     k = int(grade.max())
-    keep = _telling(x, owner, grade, least)
-    df = np.bincount(x, minlength=1 << BITS)
-    scale = np.where(keep, np.log(len(grade) / np.maximum(df, 1)) / 3, 0)
-    inside = keep[x]
-    x, owner = x[inside], owner[inside]
+    scale = np.where(df > 0, np.log(len(grade) / np.maximum(df, 1)) / 3, 0)
     weight = np.bincount(grade, minlength=k + 1).clip(1)[grade] ** -0.5
     weight /= weight.sum()
     w, gap = np.zeros(1 << BITS), np.array([-1.0] + [0.5] * (k - 1))  # thresholds: the first, then logs of the gaps
@@ -128,12 +127,12 @@ def fit(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, penalty: float = 2e
     return Model((w * scale).astype(np.float32), np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])])))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000) -> Model:
-    """Fit on a bounded sample of the rated documents; their features, not their texts, come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, least: float = 10.0) -> Model:
+    """Fit on a bounded sample of the rated documents; only counts and their telling features come to the driver."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    rated = labels.select("doc_id", grade.alias("grade")).where("grade is not null")
+    known = labels.select("doc_id", grade.alias("grade")).where("grade is not null")
     order = F.xxhash64("doc_id", F.lit(3))
-    some = rated.withColumn("n", F.row_number().over(Window.partitionBy("grade").orderBy(order, "doc_id"))).where(F.col("n") <= per_grade)
+    some = known.withColumn("n", F.row_number().over(Window.partitionBy("grade").orderBy(order, "doc_id"))).where(F.col("n") <= per_grade)
     sample = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "grade")), "doc_id").select("grade", "text")  # at most 3 * per_grade rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,20 +141,40 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000) -> Model:
             at = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("grade"), pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32)))], names=["grade", "x"])
 
-    got = sample.mapInArrow(run, "grade int, x array<int>").toArrow()
-    grades = got.column("grade").to_numpy()
-    if len(np.unique(grades)) < 2:
+    rated = written(sample.mapInArrow(run, "grade int, x array<int>"), "rated")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, 1 << BITS), np.int64)
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("x")), 0).to_numpy()
+            g = np.repeat(batch.column("grade").to_numpy(), sizes)
+            total += np.bincount((g.astype(np.int64) << BITS) + batch.column("x").flatten().to_numpy(), minlength=3 << BITS).reshape(3, -1)
+        g, f = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(total[g, f])], names=["grade", "feature", "n"])
+
+    counts, sizes = np.zeros((3, 1 << BITS), np.int64), np.zeros(3, np.int64)
+    for r in rated.groupBy("grade").count().collect():  # three rows at most
+        sizes[r["grade"]] = r["count"]
+    if np.count_nonzero(sizes) < 2:
         return Model(np.zeros(1 << BITS, np.float32), np.full(2, -50.0))
-    lists = got.column("x").combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    x, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    # a fixed order of rows, so that the sums don't depend on how tasks ended
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    total = np.concatenate([[0], np.cumsum(x.astype(np.int64) * 2654435761 % 1000003)])
-    order = np.lexsort((total[first[1:]] - total[first[:-1]], sizes, grades))
-    x = np.concatenate([x[first[i] : first[i + 1]] for i in order])
-    levels, y = np.unique(grades[order], return_inverse=True)
-    model = fit(x, np.repeat(np.arange(len(order)), sizes[order]), y)
+    for batch in rated.mapInArrow(count, "grade int, feature int, n long").groupBy("grade", "feature").agg(F.sum("n").alias("n")).toArrow().to_batches():  # 3 * 2**BITS rows at most
+        counts[batch.column(0).to_numpy(), batch.column(1).to_numpy()] = batch.column(2).to_numpy()
+    levels = np.flatnonzero(sizes)
+    keep = _telling(counts[levels], sizes[levels], least)
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(keep).tobytes())
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy()
+            at = np.concatenate([[0], np.cumsum(mask[x])])[np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("x")).to_numpy())])]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x[mask[x]]))], names=["grade", "x"])
+
+    got = rated.mapInArrow(telling, "grade int, x array<int>").toArrow()
+    rows = sorted(zip(got.column("grade").to_pylist(), got.column("x").to_pylist(), strict=True))  # a fixed order of rows, so that sums don't depend on how tasks ended
+    y = np.searchsorted(levels, np.array([g for g, _ in rows]))
+    x = np.array([f for _, fs in rows for f in fs], np.int64)
+    model = fit(x, np.repeat(np.arange(len(rows)), [len(fs) for _, fs in rows]), y, np.where(keep, counts.sum(axis=0), 0))
     if len(levels) < 3 or levels[-1] < 2:  # a grade nobody gave: its threshold falls together with its neighbour's
         at = [model.thresholds[np.searchsorted(levels, g) - 1] if 0 < np.searchsorted(levels, g) < len(levels) else (-50.0 if np.searchsorted(levels, g) == 0 else 50.0) for g in (1, 2)]
         return Model(model.weights, np.array(at))
