@@ -1,7 +1,11 @@
 import random
 import re
 
-from textloom.llm.neardup import link_components
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from textloom.llm.neardup import _least_need, _need, link_components
+from textloom.llm.words import distinct, shingles_of, words_of
 
 
 def shingles(text, width=5):
@@ -70,3 +74,23 @@ def test_repeated_ids_and_empty_table(spark):
     got = sorted(tuple(r) for r in link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(3, 3, 3), (3, 3, 3), (5, 3, 3), (5, 3, 3), (7, 3, 3), (9, 1, 9)]
     assert link_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_group_whose_second_largest_member_needs_fewer_tokens(spark):
+    words = [f"w{i}" for i in range(49)]
+    values, owner = distinct(*shingles_of(words_of(pa.array(words)), 1))
+    words = [words[owner[i]] for i in values.argsort()]  # in the order of the index
+    own, theirs, more, both = words[:5], words[5:12], words[12:13], words[13:]
+    a, b = " ".join(theirs + both), " ".join(theirs + more + both)
+    rows = [(1, a), (2, b), (3, a), (3, b), (4, " ".join(own + both))]  # 3 ties 43 and 44 into a group; 41 links with 43 at just 75 %
+    got = sorted(tuple(r) for r in link_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, rounds=0).collect())
+    assert got == [(1, 43, 1), (2, 44, 1), (3, 43, 1), (3, 44, 1), (4, 41, 1)]
+
+
+def test_bound_of_a_group_is_the_least_of_its_sizes(spark):
+    n, low, size, m = F.col("n"), F.col("low"), F.col("size"), F.col("m")
+    sizes = spark.range(1, 200).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.ceil(n * 0.75), F.floor(n / 0.75))).alias("low"))
+    sizes = sizes.select("n", "low", F.explode(F.sequence(low, F.least(low + 12, F.floor(n / 0.75)))).alias("size"))
+    every = sizes.select("n", "low", "size", F.explode(F.sequence(low, size)).alias("m"))
+    want = every.groupBy("n", "low", "size").agg(F.min(F.least(_need(n, m, 75), _need(m, n, 75))).alias("want"))
+    assert want.where(F.col("want") != _least_need(n, low, size, 75)).count() == 0

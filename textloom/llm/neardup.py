@@ -134,6 +134,16 @@ def _need(n: Column, m: Column, threshold: int) -> Column:
     return n - F.ceil(n * threshold / 100) + 1 - (n - overlap)
 
 
+def _least_need(n: Column, low: Column, high: Column, threshold: int) -> Column:
+    """Of the indexed tokens that a set of n shares with one that links, so many at least, whatever size from low to high that has.
+
+    By the first set's index this grows with the other's size.  By the other's index it falls by t * t / (1 + t) a token, but
+    two ceilings make it rise and fall by less than 1 around that, so the least is among the last few sizes.
+    """
+    last = -(-2 * 100 * (100 + threshold) // threshold**2)
+    return F.least(_need(n, low, threshold), *(_need(F.greatest(high - i, low), n, threshold) for i in range(last + 1)))
+
+
 def link_components(docs: DataFrame, width: int = 5, threshold: int = 75, rounds: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -191,7 +201,7 @@ def link_components(docs: DataFrame, width: int = 5, threshold: int = 75, rounds
     earlier = (F.col("q.docs") < F.col("g.docs")) | ((F.col("q.docs") == F.col("g.docs")) & (F.col("q.grp") < F.col("g.grp")))
     met = q.join(g, "token").where(fits & earlier & (F.col("q.grp") != F.col("g.grp"))).groupBy(F.col("q.rid").alias("rid"), F.col("q.n").alias("n"), F.col("g.grp").alias("opens")).agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
     low, high = F.greatest("least", F.ceil(F.col("n") * t / 100)), F.least("most", F.floor(F.col("n") * 100 / t))
-    opened = met.where(F.col("shared") >= F.greatest(F.lit(1), F.least(_need(F.col("n"), low, t), _need(high, F.col("n"), t)))).select("rid", "opens")
+    opened = met.where(F.col("shared") >= F.greatest(F.lit(1), _least_need(F.col("n"), low, high, t))).select("rid", "opens")
 
     asks = cells.alias("q").join(opened, "rid").select("token", F.col("opens").alias("grp"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"))
     inside = asks.join(cells.select("token", "grp", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb")), ["token", "grp"])
