@@ -88,3 +88,17 @@ def test_components_cliques_and_fringe(g, spark):
     top = graph.betweenness(abc, path, groups=2).orderBy(F.desc("betweenness")).first()
     assert (top["id"], top["betweenness"]) == ("b", 1.0)
     assert graph.eigenvector(abc, path).orderBy(F.desc("eigenvector")).first()["id"] == "c"
+
+
+def test_graphs_larger_than_a_bound(spark):
+    complete = spark.createDataFrame([(a, b, 0.0) for a in range(9) for b in range(a)], "src long, dst long, weight double")
+    assert [sorted(r["nodes"]) for r in graph.cliques(complete).collect()] == [list(range(9))]
+    with pytest.raises(RuntimeError):
+        graph.cliques(complete, most=8)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(23)], "parent long, child long")
+    far = {(r["ancestor"], r["descendant"]): r["distance"] for r in graph.closure(chain).collect()}
+    assert far == {(a, b): b - a for a in range(24) for b in range(a + 1, 24)}
+    assert graph.closure(chain, 2).count() == 23 + 22
+    way = chain.where("child < 4").selectExpr("parent AS src", "child AS dst", "0.0D AS weight")
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(way, spark.range(1), most=2)

@@ -7,6 +7,7 @@ the edge table; where lineage would grow, ``checkpoint`` cuts it in the shared f
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,13 +105,16 @@ def paths(edges: DataFrame, start, end, length: int = 4, directed: bool = False)
     return found
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False, heuristic: Column | None = None, most: int = 50) -> DataFrame:
-    """(source, id, distance, path) by relaxing all edges until nothing improves; of equal paths the smaller one is kept."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False, heuristic: Column | None = None, most: int | None = None) -> DataFrame:
+    """(source, id, distance, path) by relaxing all edges until nothing improves; of equal paths the smaller one is kept.
+
+    With ``most`` it raises if something still improves after so many rounds.
+    """
     adj = adjacency(edges, directed, heuristic=heuristic).persist()
     s = F.col("id")
     best = sources.select(s.alias("source"), s.alias("id"), F.lit(0.0).alias("distance"), F.array(s).alias("path"))
     front = best
-    for i in range(most):
+    for i in count():
         moved = front.join(adj, front.id == adj.a).where(~F.array_contains("path", F.col("b"))).select("source", F.col("b").alias("id"), (F.col("distance") + F.col("cost")).alias("distance"), F.concat("path", F.array("b")).alias("path"))
         moved = moved.groupBy("source", "id").agg(F.min(F.struct("distance", "path")).alias("x")).select("source", "id", "x.distance", "x.path")
         old = best.select("source", "id", F.col("distance").alias("_d"))
@@ -118,13 +122,15 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False,
         front = _cut(front)
         if front.isEmpty():
             break
+        if most is not None and i + 1 >= most:
+            raise RuntimeError(f"paths still improve after {most} rounds")
         best = best.join(front.select("source", "id"), ["source", "id"], "left_anti").unionAll(front)
         if i % 3 == 2:
             best = _cut(best)
     return best
 
 
-def all_pairs(nodes: DataFrame, edges: DataFrame, directed: bool = False, own_edge: bool = False, most: int = 50) -> DataFrame:
+def all_pairs(nodes: DataFrame, edges: DataFrame, directed: bool = False, own_edge: bool = False, most: int | None = None) -> DataFrame:
     """(source, id, distance, path) between all reachable pairs.
 
     With ``own_edge`` a node without outgoing edges has twice its cheapest edge as the distance to itself instead of 0.
@@ -238,21 +244,27 @@ def triangles(edges: DataFrame) -> DataFrame:
     return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c")
 
 
-def cliques(edges: DataFrame, least: int = 3, most: int = 8) -> DataFrame:
-    """(nodes) of cliques of ``least`` to ``most`` nodes that no other node extends, grown node by node in order."""
+def cliques(edges: DataFrame, least: int = 3, most: int | None = None) -> DataFrame:
+    """(nodes) of cliques of at least ``least`` nodes that no other node extends, grown node by node in order.
+
+    With ``most`` it raises if there are cliques of more nodes.
+    """
     e = links(edges).persist()
     level = e.where("id < other").select(F.array("id", "other").alias("nodes"))
-    found = None
-    for size in range(2, most + 1):
+    found = level.limit(0)
+    for size in count(2):
         grown = level.join(e, F.element_at("nodes", -1) == F.col("id")).where(F.col("other") > F.element_at("nodes", -1))
         grown = grown.select("nodes", "other", F.explode("nodes").alias("n")).join(e.select(F.col("id").alias("n"), "other"), ["n", "other"]).groupBy("nodes", "other").agg(F.count("*").alias("c")).where(F.col("c") == size)
         nxt = grown.select(F.concat("nodes", F.array("other")).alias("nodes"))
         fits = level.select("nodes", F.explode("nodes").alias("id")).join(e, "id").groupBy("nodes", "other").agg(F.count("*").alias("c")).where(F.col("c") == size).select("nodes").distinct()
         whole = level.join(fits, "nodes", "left_anti")
         if size >= least:
-            found = whole if found is None else found.unionAll(whole)
-        level = nxt
-    return found
+            found = found.unionAll(whole)
+        level = _cut(nxt)
+        if level.isEmpty():
+            return found
+        if most is not None and size >= most:
+            raise RuntimeError(f"there are cliques of more than {most} nodes")
 
 
 def unlink(edges: DataFrame, a, b=None) -> DataFrame:
@@ -313,15 +325,21 @@ def graphml(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> DataF
     return head.unionAll(n).unionAll(e).orderBy("n", "k").select("line")
 
 
-def closure(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(ancestor, descendant, distance) of a hierarchy (parent, child), shortest distances, by doubling out from each step."""
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(ancestor, descendant, distance) of a hierarchy (parent, child), shortest distances, a step a round until nothing is new.
+
+    With ``most`` only those at most so many steps away are asked for.
+    """
     known = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("distance")).distinct()
     last = known
     step = edges.select("parent", "child").distinct().persist()
-    for d in range(2, most + 1):
+    for d in count(2):
+        if most is not None and d > most:
+            return known
         new = last.join(step, F.col("descendant") == F.col("parent")).select("ancestor", F.col("child").alias("descendant")).distinct().where("ancestor <> descendant").join(known.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti").withColumn("distance", F.lit(d))
         last = _cut(new)
         if last.isEmpty():
-            break
+            return known
         known = known.unionAll(last)
-    return known
+        if d % 8 == 0:
+            known = _cut(known)

@@ -104,7 +104,7 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_cliques")
 def cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cliques(_graph(spark, sf_dir)[1], 2, 4).select(F.array_join("nodes", "-").alias("nodes"))
+    return graph.cliques(_graph(spark, sf_dir)[1], 2).select(F.array_join("nodes", "-").alias("nodes"))
 
 
 @query("graph_redirect", f"WITH {_EDGES} SELECT DISTINCT CASE WHEN src = 4 THEN 5 ELSE src END AS src, CASE WHEN dst = 4 THEN 5 ELSE dst END AS dst FROM e WHERE CASE WHEN src = 4 THEN 5 ELSE src END <> CASE WHEN dst = 4 THEN 5 ELSE dst END")
