@@ -57,5 +57,14 @@ def test_learned_spans_and_redaction(spark):
     assert all('token = "[SECRET]"' in r["text"] and r["extra"] == "x" for r in clean)
 
 
+def test_a_long_secret_is_one_span(spark):
+    token = lambda i: "".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(5))[:300]
+    rows = [(i, f'say token = "{hashlib.sha1(str(i).encode()).hexdigest()}" or abcdefgh{i}ijklmnop here') for i in range(60)]
+    rows += [(60 + i, f'say token = "{token(i)}" here') for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["spans"] for r in pii.detect(df).where("doc_id >= 60").collect()] == ["secret:13:313"] * 3
+    assert [r["text"] for r in pii.redact(df).where("doc_id >= 60").collect()] == ['say token = "[SECRET]" here'] * 3
+
+
 def test_empty_table(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -43,7 +43,7 @@ _CANDIDATES = {
     "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ (?:at|\[at\]|\(at\)) [A-Za-z0-9-]{1,64}+ (?:dot|\[dot\]|\(dot\)) [A-Za-z]{2,24}+",
     "phone": r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{12,256}+",
+    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{12,}+",
 }
 KINDS = [*BASE, "identity", "secret"]
 LABELERS = ["regex", "gazetteer", "context", "shape"]
