@@ -102,3 +102,16 @@ def test_graphs_larger_than_a_bound(spark):
     way = chain.where("child < 4").selectExpr("parent AS src", "child AS dst", "0.0D AS weight")
     with pytest.raises(RuntimeError):
         graph.shortest_paths(way, spark.range(1), most=2)
+
+
+def test_queries_take_whole_tables(spark, tmp_path):
+    from textloom.plans import q_text, q_vector
+
+    kinds = {i: i // 2 % 2 for i in range(12)}
+    texts = [(i, f"{'cats purr' if q else 'dogs bark'} w{i}") for i, q in kinds.items()]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in kinds.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # by brute force: all training documents that share a word with a held-out one are of its own kind
+    assert {r["doc_id"]: r["predicted"] for r in q_vector.knn(spark, str(tmp_path)).collect()} == {i: f"q{q}" for i, q in kinds.items() if i % 2}
+    spark.createDataFrame([(30, "http://a.com/1", "<p>x</p>"), (31, "http://b.com/1", "<p>y</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert q_text.crawl(spark, str(tmp_path)).count() == 2

@@ -105,7 +105,7 @@ def selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("web_crawl")
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return web.crawl(pages, pages.where("page_id < 20").select("url"), steps=2, per_domain=5)
+    return web.crawl(pages, pages.select("url"), steps=2, per_domain=5)
 
 
 @query("sheet_group", "SELECT o_orderpriority, count(*) AS n, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS states FROM orders WHERE o_orderkey < 200 GROUP BY 1")

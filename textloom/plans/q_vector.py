@@ -162,7 +162,7 @@ def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, labels = _labelled(spark, sf_dir)
     v = vector.weights(p).persist()
-    return classify.NearestNeighbors(5).train(v, labels.where("doc_id % 2 = 0")).predict(v.join(labels.where("doc_id % 10 = 1").select("doc_id"), "doc_id", "left_semi"))
+    return classify.NearestNeighbors(5).train(v, labels.where("doc_id % 2 = 0")).predict(v.join(labels.where("doc_id % 2 = 1").select("doc_id"), "doc_id", "left_semi"))
 
 
 @query("classify_perceptron")
