@@ -33,3 +33,10 @@ def test_odd_rows(spark):
     text = {r["page_id"]: r["text"] for r in got}
     assert len(got) == 7 and text[1] == "" and text[2] == "" and text[3] == "deep" and text[4] == "deep &am & x<" and text[None] == ""
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_a_host_of_two_pages_and_copies_of_one(spark):
+    html = lambda i: f"<body><div class='x'><p>On all pages</p></div><div class='y'><h1>Title {i}</h1><p>One {i}</p><p>Two {i}</p></div></body>"
+    rows = [(1, "http://two/1", html(1)), (2, "http://two/2", html(2)), (3, "http://one/3", html(3)), (4, "http://copy/4", html(4)), (4, "http://copy/4", html(4))]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("" if i < 3 else "On all pages\n\n") + f"Title {i}\n\nOne {i}\n\nTwo {i}" for i in range(1, 5)}

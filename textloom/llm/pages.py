@@ -6,7 +6,7 @@ node the tree counts which texts stand below it on the host's pages (content) an
 importance of a branch is the larger one of its content's and, for branches that hold other elements, a part of its
 presentation's.  Branches of low importance (menus, notices and adverts repeat) are removed from each page, as are elements
 whose role is named (nav, footer, class "cookie" ...).  ``article`` and ``main`` are never removed for low importance.
-Hosts with fewer than ``least_pages`` pages give no evidence; there the named roles decide alone.
+A branch that is on one page, or on copies of one page only, gives no evidence; there the named roles decide alone.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by a blank line.
 
@@ -124,10 +124,11 @@ class Page:
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, content?, feature, n, pages) of this task's pages, added up by slices."""
+    """(host, path, content?, feature, n, pages, lo, hi) of this task's pages, added up by slices; lo and hi of the pages' hashes."""
     for part in slices(batches, "html", 8 << 20):
         counts: Counter = Counter()
         on: Counter = Counter()
+        ends: dict = {}
         for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
             page = Page(html or "")
             paths = set()
@@ -138,8 +139,11 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for path in around:
                     counts[host, path, True, feature] += 1
                     paths.add(path)
+            of = xxhash.xxh64_intdigest("\0".join(b[0] for b in page.blocks if not b[2])) >> 1
             for path in paths:
                 on[host, path] += 1
+                lo, hi = ends.get((host, path), (of, of))
+                ends[host, path] = min(lo, of), max(hi, of)
                 if path in page.children:
                     counts[host, path, False, xxhash.xxh64_intdigest("|".join(page.children[path])) >> 1] += 1
         if counts:
@@ -147,18 +151,18 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             given: set = set()
             pages = [0 if k[:2] in given else given.add(k[:2]) or on[k[:2]] for k in keys]  # the pages of a path go with one of its rows
             columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64()), pa.array(pages, pa.int64())], names=["host", "path", "content", "feature", "n", "pages"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64()), pa.array(pages, pa.int64()), *(pa.array([ends[k[:2]][i] for k in keys], pa.int64()) for i in range(2))], names=["host", "path", "content", "feature", "n", "pages", "lo", "hi"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, content, presentation): entropies of every node of the site style trees, as shares of log n."""
-    rows = pages.mapInArrow(_tree, "host string, path long, content boolean, feature long, n long, pages long")
-    features = rows.groupBy("host", "path", "content", "feature").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+    """(host, path, pages, differ, content, presentation): whether its pages aren't all the same one, and entropies of every node of the site style trees, as shares of log n."""
+    rows = pages.mapInArrow(_tree, "host string, path long, content boolean, feature long, n long, pages long, lo long, hi long")
+    features = rows.groupBy("host", "path", "content", "feature").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     kinds = features.groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), *(F.sum(F.when(F.col("content") == c, x)).alias(f"{name}_{k}") for c, name in ((True, "c"), (False, "p")) for k, x in (("n", F.col("n")), ("s", F.col("n") * F.log("n"))))
+        F.sum("pages").alias("pages"), (F.min("lo") < F.max("hi")).alias("differ"), *(F.sum(F.when(F.col("content") == c, x)).alias(f"{name}_{k}") for c, name in ((True, "c"), (False, "p")) for k, x in (("n", F.col("n")), ("s", F.col("n") * F.log("n"))))
     )
     share = lambda k: F.when(F.col(f"{k}_n") > 1, (F.log(f"{k}_n") - F.col(f"{k}_s") / F.col(f"{k}_n")) / F.log(f"{k}_n")).otherwise(0.0)
-    return kinds.select("host", "path", "pages", share("c").alias("content"), share("p").alias("presentation"))
+    return kinds.select("host", "path", "pages", "differ", share("c").alias("content"), share("p").alias("presentation"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +179,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, least_pages: int = 8, low: float = 0.4) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 2, low: float = 0.4) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.coalesce(urls.host(F.col("url")), F.lit("")).alias("host"))
     tree = importance(pages.select("host", "html"))
-    weak = tree.where((F.col("pages") >= least_pages) & (F.greatest("content", F.col("presentation") * 0.5) < low))
+    weak = tree.where((F.col("pages") >= least_pages) & F.col("differ") & (F.greatest("content", F.col("presentation") * 0.5) < low))
     drop = weak.groupBy("host").agg(F.collect_set("path").alias("drop"))  # as many as a site has kinds of branches
     # written first, so that its size is known: if it is small the optimiser sends it out, else a large host's pages are dealt by a salt
     drop = written(drop.select("host", "drop", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")), "branches")
