@@ -4,7 +4,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.llm.neardup import _least_need, _need, link_components
+from textloom.llm.neardup import _least_need, _need, link_components, survivors
 from textloom.llm.words import distinct, shingles_of, words_of
 
 
@@ -76,6 +76,27 @@ def test_repeated_ids_and_empty_table(spark):
     assert link_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_null_ids_and_two_near_sizes_under_one_id(spark):
+    words = [f"w{i}" for i in range(120)]
+    a, b, c = (" ".join(words[i:j]) for i, j in ((0, 100), (0, 102), (2, 104)))
+    alone = " ".join(f"x{i}" for i in range(50))
+    rows = [(5, a), (5, b), (9, c), (None, " ".join(words[:98])), (None, alone), (None, alone + " y"), (7, "q"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(-1 if v is None else v for v in r) for r in link_components(df).collect()))
+    assert got == [(-1, 0, -1), (-1, 46, -1), (-1, 47, -1), (-1, 94, 5), (5, 96, 5), (5, 98, 5), (7, 1, 7), (9, 98, 5)]
+    kept = survivors(df.withColumn("h", F.lit("x")).withColumn("rid", F.lit(1)).withColumn("a.b", F.lit(2)))
+    assert kept.columns == ["doc_id", "text", "h", "rid", "a.b"]
+    got = sorted(((r["doc_id"] or -1), (r["text"] or "")) for r in kept.collect())
+    assert len(got) == 5 and got[0] == (-1, "") and got[1][1] in (alone, alone + " y") and got[2:] == [(5, a), (5, b), (7, "q")]
+
+
+def test_many_texts_just_below_the_threshold_of_each_other(spark):
+    base, r = [f"b{i}" for i in range(104)], random.Random(3)
+    rows = [(i, " ".join(f"e{i}_{j}" if j in cut else w for j, w in enumerate(base))) for i in range(150) for cut in [set(r.sample(range(104), 4))]]
+    got = sorted(tuple(x) for x in link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
 def test_group_whose_second_largest_member_needs_fewer_tokens(spark):
     words = [f"w{i}" for i in range(49)]
     values, owner = distinct(*shingles_of(words_of(pa.array(words)), 1))

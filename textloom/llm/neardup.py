@@ -5,30 +5,35 @@ Documents are sets of distinct ``width``-word shingles.  Two link when 100 * int
 1. Equal sets form a class; one text of each goes on, so copies never meet pair by pair.
 2. Tokens are ordered (common ones last), and a set is indexed under its first n - ceil(t n) + 1 tokens: sets that link
    share one of these.  Tokens of a single set are dropped.
-3. Similar documents are put into groups: those with the same smallest (by a hash that changes each round) index token
-   are compared with one pivot, then with several texts of the largest group, and links make groups.  What is left for
-   later are only pairs between different groups.
-4. The matrix holds, for each token and group, whether any member is indexed under it, and the members' sizes: the
-   group's token union.  A document's overlap with a group's union bounds its overlap with every member.
-5. Only groups that reach the bound are opened; their members are counted one by one, and the whole texts of pairs that
-   still qualify are compared exactly.
+3. Each document is compared with one pivot for each of ``rounds`` key tokens (its most common one, then the smallest by
+   a hash); what links is one class from then on, so a large group of near copies costs one comparison a copy.
+4. The matrix: documents are partitioned by their most common token and a band of sizes.  For each token and group it
+   holds whether any member is indexed under it (the group's token union), how many are, and the members' sizes.  The
+   tokens that a document shares with the union, of members outside its own class, bound its overlap with every one.
+5. Only groups that reach the bound are opened.  Of s shared tokens, of which d are needed, every partner has one of
+   any s - d + 1: members are looked up at the rarest ones only, so thousands of texts just below the threshold of each
+   other, which share the same common passage, don't meet pair by pair.
+6. One pair of each two classes is compared first; for what then still is apart, all pairs, by their whole texts.
 
 The order of tokens comes from a bitmap of common shingles, which an eighth of the classes fills.  Any order gives the
 same links; this one keeps passages that many documents share out of the index where a text has rarer shingles.
 
 Defined results: a null, empty or wordless text has n_shingles 0 and links with nothing; with fewer than ``width`` words the
 whole sequence is the one shingle; every input row gives one output row; rows that share a doc_id are one document of the
-graph; other columns are ignored; an empty table gives no row.
+graph, with all its texts; rows with a null doc_id are documents without an id: they link with others, and where nobody in
+a component has an id, component_id is null; other columns are ignored (by ``survivors`` kept); an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 from pyspark.sql.window import Window
 
 from textloom.llm.graph import components
@@ -37,8 +42,8 @@ from textloom.llm.words import distinct, mix, shingles_of, signed, slices, words
 
 _BITS = 26  # the bitmap of common shingles: 8 MB whatever the corpus
 _COMMON = 2  # classes of the sampled eighth that make a shingle common
-_PIVOTS = 8  # texts that a group is compared with for each of its tokens, from the second round on
 _PIVOT_TEXTS = 512  # comparisons with one pivot in one piece of work
+_STEP = 1.08  # sizes in one band of a group differ by this factor at most
 
 
 def _set_sizes(owner: np.ndarray, texts: int) -> np.ndarray:
@@ -52,7 +57,7 @@ def _classes(width: int):
             sums = [np.zeros(part.num_rows, np.uint64) for _ in range(2)]
             for s, salt in zip(sums, (0x243F6A8885A308D3, 0x13198A2E03707344), strict=True):
                 np.add.at(s, owner, mix(values ^ np.uint64(salt)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_set_sizes(owner, part.num_rows)), *(pa.array(signed(s)) for s in sums)], names=["doc_id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(_set_sizes(owner, part.num_rows)), *(pa.array(signed(s)) for s in sums)], names=["doc_id", "h", "n", "s1", "s2"])
 
     return run
 
@@ -83,8 +88,7 @@ def _index(width: int, threshold: int, common):
             keep = np.arange(len(order)) - begin[owner] < p[owner]
             offsets = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
             tokens = signed(order[keep])
-            last = np.where(p > 0, tokens[np.maximum(offsets[1:] - 1, 0)] if len(tokens) else 0, 0)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(last), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], names=["rid", "n", "last", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], names=["rid", "n", "tokens"])
 
     return run
 
@@ -119,12 +123,10 @@ def _compare(width: int, threshold: int):
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole texts link. The text of b goes once to each piece of work, those of a pass by."""
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / _PIVOT_TEXTS).alias("pieces"))
-    salted = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), "pieces").alias("salt"))
-    salted = written(salted, "pairs")
-    text = texts.select(F.col("doc_id").alias("a"), "text")
-    left = salted.join(text, "a").select("a", "b", "salt", F.lit(1).alias("kind"), "text")
-    right = salted.select(F.col("b").alias("a"), "b", "salt").distinct().join(text, "a").select("a", "b", "salt", F.lit(0).alias("kind"), "text")
-    dealt = left.unionAll(right).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
+    salted = written(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), "pieces").alias("salt")), "pairs")
+    asked = salted.select(F.col("a").alias("rid"), "b", "salt", F.lit(1).alias("kind"))
+    met = salted.select(F.col("b").alias("rid"), "b", "salt", F.lit(0).alias("kind")).distinct()
+    dealt = asked.unionAll(met).join(texts, "rid").select(F.col("rid").alias("a"), "b", "salt", "kind", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
     return dealt.mapInArrow(_compare(width, threshold), "a long, b long")
 
 
@@ -144,73 +146,148 @@ def _least_need(n: Column, low: Column, high: Column, threshold: int) -> Column:
     return F.least(_need(n, low, threshold), *(_need(F.greatest(high - i, low), n, threshold) for i in range(last + 1)))
 
 
-def link_components(docs: DataFrame, width: int = 5, threshold: int = 75, rounds: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    members = written(docs.mapInArrow(_classes(width), "doc_id long, n long, s1 long, s2 long"), "members")
-    reps = members.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rid"))
-    texts = written(docs.join(reps.select(F.col("rid").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+def _near(n: Column, m: Column, threshold: int) -> Column:
+    """Whether the sizes allow a link."""
+    return (n * 100 >= m * threshold) & (m * 100 >= n * threshold)
+
 
+def _common(texts: DataFrame, width: int):
+    """A bitmap of the shingles that are common in an eighth of the texts, sent to all executors."""
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).mapInArrow(_sampled(width), "value long")
     often = some.groupBy("value").count().where(F.col("count") >= _COMMON)
     slots = often.select(F.expr(f"shiftrightunsigned(value, {64 - _BITS})").alias("slot")).distinct().select((F.col("slot") / 8).cast("long").alias("byte"), F.expr("shiftright(128, cast(slot % 8 as int))").alias("bit"))
     bitmap = np.zeros(1 << (_BITS - 3), np.uint8)  # at most 2**(_BITS - 3) bytes can be set, so many rows come at most
     for chunk in slots.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
         bitmap[chunk.column(0).to_numpy()] = chunk.column(1).to_numpy().astype(np.uint8)
-    common = spark.sparkContext.broadcast(bitmap.tobytes())
+    return texts.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
-    index = texts.mapInArrow(_index(width, threshold, common), "rid long, n long, last long, tokens array<long>")
-    index = index.select("rid", "n", "last", F.explode("tokens").alias("token"))
-    index = index.withColumn("docs", F.count("*").over(Window.partitionBy("token"))).where("docs > 1").select("token", "rid", "n", "last")
-    index = written(index, "index")
 
-    # a doc_id whose rows have different texts ties their classes together
-    same = members.where("n > 0").join(reps, ["s1", "s2"]).where("doc_id <> rid").select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
-    twice = members.where("n > 0").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("doc_id")
-    links = written(same.join(twice.select(F.col("doc_id").alias("a")), "a", "left_semi"), "links")
-    groups = written(components(links), "groups")
+def _labelled(docs: DataFrame, groups: DataFrame, by: str = "rid") -> DataFrame:
+    """docs with ``grp``: the label of ``by``, itself if it has no link yet."""
+    return docs.join(groups.select(F.col("node").alias(by), "label"), by, "left").withColumn("grp", F.coalesce("label", by)).drop("label")
+
 
+def _starred(index: DataFrame, texts: DataFrame, width: int, threshold: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their key tokens, links, groups): every document is compared with one pivot for each key token."""
+    own = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    # in the middle of a group of near copies is the text most of whose tokens others have too
+    order = F.struct(F.floor(-20 * F.count("*") / F.first(own)).alias("x"), F.xxhash64("rid").alias("y")).alias("order")
+    least = [F.min_by("token", F.xxhash64("token", F.lit(r))).alias(f"key{r}") for r in range(1, rounds)]
+    keys = written(index.groupBy("rid", "n").agg(order, F.max_by("token", F.struct("docs", "token")).alias("key0"), *least), "keys")
+    links = keys.select(F.col("rid").alias("a"), F.col("rid").alias("b")).limit(0)
+    groups = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     for r in range(rounds):
-        grouped = index.join(groups, index.rid == groups.node, "left").select("token", "rid", "n", F.coalesce("label", "rid").alias("grp"))
-        # in the middle of a group of near copies is the text most of whose tokens others have too
-        own = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-        key = grouped.groupBy("rid", "grp", "n").agg(F.min_by("token", F.xxhash64("token", F.lit(r))).alias("token"), F.struct(F.floor(-20 * F.count("*") / F.first(own)), F.xxhash64("rid", F.lit(r))).alias("order"))
-        sizes = groups.groupBy(F.col("label").alias("grp")).agg(F.count("*").alias("docs"))
-        key = key.join(sizes, "grp", "left").withColumn("order", F.struct(-F.coalesce("docs", F.lit(1)), "order")).drop("docs")
-        one = key.groupBy("token", "grp").agg(F.min_by(F.struct("rid", "n"), "order").alias("x"))
-        # one pivot first; what it left apart then meets several texts of the largest group
-        some = F.row_number().over(Window.partitionBy("token").orderBy("order", "rid"))
-        pivot = key.withColumn("_r", some).where(F.col("_r") <= (1 if r == 0 else _PIVOTS)).select("token", F.struct("rid", "n", "grp").alias("p"))
-        star = one.join(pivot, "token").where("grp <> p.grp").where((F.col("x.n") * 100 >= F.col("p.n") * threshold) & (F.col("p.n") * 100 >= F.col("x.n") * threshold))
-        pairs = star.select(F.col("x.rid").alias("a"), F.col("p.rid").alias("b")).distinct()
-        new = written(_verified(pairs, texts, width, threshold), "links")
-        links = links.unionAll(new)
-        groups = written(components(links), "groups")
-
-    # the matrix: tokens by groups, where at least two groups have the token
-    count = groups.groupBy("label").agg(F.count("*").alias("docs"))
-    known = groups.join(count, "label").select(F.col("node").alias("rid"), F.col("label").alias("grp"), "docs")
-    cells = index.join(known, "rid", "left").select("token", "rid", "n", "last", F.coalesce("grp", "rid").alias("grp"), F.coalesce("docs", F.lit(1)).alias("docs"))
-    between = index.join(known, "rid", "left").select("token", F.coalesce("grp", "rid").alias("grp")).groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("token")
+        grouped = keys.select("rid", "n", "order", F.col(f"key{r}").alias("token"))
+        if r == 0:  # a document of its own each
+            one = grouped.select("token", F.col("rid").alias("grp"), F.struct("rid", "n").alias("x"))
+            pivot = grouped.groupBy("token").agg(F.min_by(F.struct("rid", "n", F.col("rid").alias("grp")), "order").alias("p"))
+        else:
+            sizes = groups.groupBy(F.col("label").alias("grp")).agg(F.count("*").alias("docs"))
+            grouped = _labelled(grouped, groups).join(sizes, "grp", "left").withColumn("order", F.struct(-F.coalesce("docs", F.lit(1)), "order"))
+            one = grouped.groupBy("token", "grp").agg(F.min_by(F.struct("rid", "n"), "order").alias("x"))
+            pivot = grouped.groupBy("token").agg(F.min_by(F.struct("rid", "n", "grp"), "order").alias("p"))
+        star = one.join(pivot, "token").where("grp <> p.grp").where(_near(F.col("x.n"), F.col("p.n"), threshold))
+        links = links.unionAll(written(_verified(star.select(F.col("x.rid").alias("a"), F.col("p.rid").alias("b")).distinct(), texts, width, threshold), "links"))
+        if r == 0:  # each document has one pivot, which has none: labels already
+            groups = links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+        else:
+            groups = written(components(links), "groups")
+    return keys, links, groups
+
+
+def _asked(index: DataFrame, keys: DataFrame, groups: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(asks, members) of the groups that reach the bound; both by token, home and band.
+
+    The matrix has a column for each home (the token of a document that most documents have) and band of sizes.  A document
+    that shares s tokens with a column and needs d to link with one of its members shares one of any s - d + 1 of them with
+    that member; it asks only at the rarest ones.
+    """
+    known = _labelled(keys.select("rid", F.col("key0").alias("home")), groups)
+    cells = index.select("token", "rid", "n").join(known, "rid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(_STEP))).cast("int"))
+    between = cells.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("token")
     cells = written(cells.join(between, "token"), "cells")
-    matrix = cells.groupBy("token", "grp", "docs").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    q, g = cells.alias("q"), matrix.alias("g")
-    t = threshold
-    fits = (F.col("q.n") * 100 >= F.col("g.least") * t) & (F.col("g.most") * 100 >= F.col("q.n") * t)
-    earlier = (F.col("q.docs") < F.col("g.docs")) | ((F.col("q.docs") == F.col("g.docs")) & (F.col("q.grp") < F.col("g.grp")))
-    met = q.join(g, "token").where(fits & earlier & (F.col("q.grp") != F.col("g.grp"))).groupBy(F.col("q.rid").alias("rid"), F.col("q.n").alias("n"), F.col("g.grp").alias("opens")).agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
-    low, high = F.greatest("least", F.ceil(F.col("n") * t / 100)), F.least("most", F.floor(F.col("n") * 100 / t))
-    opened = met.where(F.col("shared") >= F.greatest(F.lit(1), _least_need(F.col("n"), low, high, t))).select("rid", "opens")
-
-    asks = cells.alias("q").join(opened, "rid").select("token", F.col("opens").alias("grp"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"))
-    inside = asks.join(cells.select("token", "grp", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb")), ["token", "grp"])
-    inside = inside.where((F.col("na") * 100 >= F.col("nb") * t) & (F.col("nb") * 100 >= F.col("na") * t))
-    counted = inside.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("na", "nb", "la", "lb")))
-    need = F.when(F.col("la") <= F.col("lb"), _need(F.col("na"), F.col("nb"), t)).otherwise(_need(F.col("nb"), F.col("na"), t))
-    left = counted.where(F.col("shared") >= F.greatest(F.lit(1), need)).select("a", "b")
-    links = links.unionAll(written(_verified(left, texts, width, threshold), "links"))
-    groups = components(links)
-
-    labelled = members.join(reps, ["s1", "s2"], "left").join(groups, F.col("rid") == F.col("node"), "left")
-    return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rid", "doc_id").alias("component_id"))
+    matrix = cells.groupBy("token", "home", "band").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("docs"), F.min("n").alias("least"), F.max("n").alias("most"))
+    q, g, t = cells.select("token", "rid", "n", "grp", F.col("band").alias("own")), matrix, threshold
+    # the smaller one of a pair asks, and only where others than its own group are
+    met = q.join(g, "token").where((F.col("band") >= F.col("own")) & (F.col("most") >= F.col("n")) & (F.col("n") * 100 >= F.col("least") * t) & ((F.col("low") != F.col("high")) | (F.col("low") != F.col("grp"))))
+    column = Window.partitionBy("rid", "home", "band")
+    low = F.greatest(F.min("least").over(column), F.col("n"))
+    high = F.least(F.max("most").over(column), F.floor(F.col("n") * 100 / t))
+    spare = F.count("*").over(column) - F.greatest(F.lit(1), _least_need(F.col("n"), low, high, t))
+    met = met.withColumn("spare", spare).withColumn("rank", F.row_number().over(column.orderBy("docs", "token"))).where(F.col("rank") <= F.col("spare") + 1)
+    asks = written(met.select("token", "home", "band", F.col("rid").alias("a"), F.col("n").alias("na")), "asks")
+    return asks, written(cells.join(asks.select("token", "home", "band").distinct(), ["token", "home", "band"], "left_semi").drop("grp"), "asked")
+
+
+def _candidates(asks: DataFrame, members: DataFrame, groups: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(one pair of documents for each two groups, all pairs of documents of different groups) that share a token asked for."""
+    at = ["token", "home", "band"]
+    asks = _labelled(asks, groups, "a").withColumnRenamed("grp", "own")
+    members = _labelled(members, groups)
+    columns = members.groupBy(*at, "grp").agg(F.min_by(F.struct("rid", "n"), F.xxhash64("rid")).alias("b"))
+    opened = asks.join(columns, at).where("own <> grp")
+    fits = _near(F.col("na"), F.col("b.n"), threshold)
+    one = opened.where(fits).groupBy("own", "grp", "a", "b").agg(F.count("*").alias("shared"))
+    one = one.groupBy(F.least("own", "grp").alias("x"), F.greatest("own", "grp").alias("y")).agg(F.max_by(F.struct("a", F.col("b.rid").alias("b")), F.struct("shared", "a", "b.rid")).alias("p")).select("p.a", "p.b")
+    inside = opened.select(*at, "grp", "a", "na").join(members.select(*at, "grp", F.col("rid").alias("b"), F.col("n").alias("nb")), [*at, "grp"])
+    every = inside.where(_near(F.col("na"), F.col("nb"), threshold) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))).select("a", "b").distinct()
+    return one, every
+
+
+def _classified(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs with their class, classes with ``rid`` and the row that stands for each)."""
+    members = written(docs.mapInArrow(_classes(width), "doc_id long, h long, n long, s1 long, s2 long"), "members")
+    some = members.where("n > 0")
+    twice = some.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("doc_id", F.lit(True).alias("twice"))
+    rows = some.groupBy("doc_id", "h", "s1", "s2").agg(F.count("*").alias("rows")).join(twice, "doc_id", "left")
+    first = F.struct(F.coalesce("twice", F.col("doc_id").isNull()).alias("odd"), "doc_id", "h", "rows")
+    # a class goes by its smallest id; where that id has other texts too, or there is none, by a hash
+    return members, rows.groupBy("s1", "s2").agg(F.min(first).alias("r")).select("s1", "s2", "r.*", F.when(F.col("r.odd"), F.xxhash64("s1", "s2")).otherwise(F.col("r.doc_id")).alias("rid"))
+
+def _components(docs: DataFrame, width: int, threshold: int, rounds: int) -> DataFrame:
+    """(doc_id, h, n, component_id, stands) for every row of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    members, reps = _classified(docs, width)
+    reps = written(reps, "classes")
+    # a row that occurs several times gives its text once
+    chosen = docs.alias("d").join(reps.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.h") == F.col("r.h"))).select("r.rid", "d.text", "r.rows")
+    texts = written(chosen.where("rows = 1").select("rid", "text").unionAll(chosen.where("rows > 1").groupBy("rid").agg(F.min("text").alias("text"))), "texts")
+
+    index = texts.mapInArrow(_index(width, threshold, _common(texts, width)), "rid long, n long, tokens array<long>").select("rid", "n", F.explode("tokens").alias("token"))
+    often = index.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
+    index = written(index.join(often, "token"), "index")
+
+    keys, links, groups = _starred(index, texts, width, threshold, rounds)
+    asks, asked = _asked(index, keys, groups, threshold)
+    one, _ = _candidates(asks, asked, groups, threshold)
+    links = links.unionAll(written(_verified(one, texts, width, threshold), "links"))
+    _, every = _candidates(asks, asked, written(components(links), "groups"), threshold)
+    links = links.unionAll(written(_verified(every, texts, width, threshold), "links"))
+
+    # a doc_id whose rows have different texts ties their classes together
+    of = members.where("n > 0").join(reps.select("s1", "s2", "rid", F.col("h").alias("first")), ["s1", "s2"])
+    ties = of.groupBy("doc_id").agg(F.min("rid").alias("b"), F.max("rid").alias("a")).where("doc_id is not null and a <> b")
+    ties = of.join(ties.select("doc_id", "b"), "doc_id").select(F.col("rid").alias("a"), "b")
+    label = _labelled(reps.select("s1", "s2", "rid", F.col("h").alias("first")), components(links.unionAll(ties.distinct())))
+    found = written(members.join(label, ["s1", "s2"], "left"), "labelled")
+    least = found.where("n > 0").groupBy("grp").agg(F.min("doc_id").alias("least"))
+    stands = F.when(F.col("n") == 0, True).when(F.col("least").isNull(), (F.col("rid") == F.col("grp")) & (F.col("h") == F.col("first"))).otherwise(F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)))
+    return found.join(least, "grp", "left").select("doc_id", "h", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), stands.alias("stands"))
+
+
+def survivors(docs: DataFrame, width: int = 5, threshold: int = 75, rounds: int = 2) -> DataFrame:
+    """The rows of docs, all columns, of one document of each component; of rows equal in id and text one."""
+    name, columns = f"_{uuid.uuid4().hex}", docs.columns
+    keep = _components(docs, width, threshold, rounds).where("stands").groupBy("doc_id", "h").agg(F.count("*").alias("rows"))
+    keep = written(keep.select(F.col("doc_id").alias(f"{name}d"), F.col("h").alias(f"{name}h"), F.col("rows").alias(f"{name}n")), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(f"{name}h"))
+    once = docs.join(keep.where(F.col(f"{name}n") == 1), same, "left_semi")
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    first = F.row_number().over(Window.partitionBy(f"{name}d", f"{name}h").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in plain))))
+    more = docs.join(keep.where(F.col(f"{name}n") > 1), same).withColumn(f"{name}r", first).where(F.col(f"{name}r") == 1)
+    return once.unionAll(more.select(*(F.col(f"`{c}`") for c in columns)))
+
+
+def link_components(docs: DataFrame, width: int = 5, threshold: int = 75, rounds: int = 2) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
+    return _components(docs, width, threshold, rounds).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
