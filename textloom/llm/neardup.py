@@ -37,7 +37,7 @@ from pyspark.sql.types import MapType, VariantType
 from pyspark.sql.window import Window
 
 from textloom.llm.graph import components
-from textloom.llm.store import written
+from textloom.llm.store import bucketed, written
 from textloom.llm.words import distinct, mix, shingles_of, signed, slices, words_of
 
 _BITS = 26  # the bitmap of common shingles: 8 MB whatever the corpus
@@ -251,9 +251,10 @@ def _components(docs: DataFrame, width: int, threshold: int, rounds: int) -> Dat
     reps = written(reps, "classes")
     # a row that occurs several times gives its text once
     chosen = docs.alias("d").join(reps.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.h") == F.col("r.h"))).select("r.rid", "d.text", "r.rows")
-    texts = written(chosen.where("rows = 1").select("rid", "text").unionAll(chosen.where("rows > 1").groupBy("rid").agg(F.min("text").alias("text"))), "texts")
+    # dealt once by rid: the texts are looked up by it several times
+    texts = bucketed(chosen.where("rows = 1").select("rid", "text").unionAll(chosen.where("rows > 1").groupBy("rid").agg(F.min("text").alias("text"))), "texts", "rid")
 
-    index = texts.mapInArrow(_index(width, threshold, _common(texts, width)), "rid long, n long, tokens array<long>").select("rid", "n", F.explode("tokens").alias("token"))
+    index = written(texts.mapInArrow(_index(width, threshold, _common(texts, width)), "rid long, n long, tokens array<long>"), "sets").select("rid", "n", F.explode("tokens").alias("token"))
     often = index.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     index = written(index.join(often, "token"), "index")
 

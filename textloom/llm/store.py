@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,8 +35,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """Write ``df`` as a table in the warehouse, dealt by a column, so that joins on that column don't shuffle it again."""
+    spark, table = df.sparkSession, f"textloom_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, by).write.format("parquet").option("compression", "zstd").bucketBy(buckets, by).saveAsTable(table)
+    _TABLES.append(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table written so far; call it once their last reader has been materialised."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
