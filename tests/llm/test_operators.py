@@ -200,15 +200,26 @@ def test_top_k_matches_brute_force(spark):
     table = topk.integers(df, 256)
     valid = [(r["vec_id"], r["v"]) for r in table.collect()]
     got = {}
-    for r in topk.top_k(table, table.where("vec_id % 50 = 0"), block=4).collect():
+    for r in topk.top_k(table, table.where("vec_id % 50 = 0"), block_bytes=600).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    queries = {}
-    for i, v in valid:
-        if i % 50 == 0:
-            queries.setdefault(i, v)
-    for q, v in queries.items():
-        if sum(i == q for i, _ in valid) > 1:
-            continue  # which of two rows with one id asks isn't defined
-        best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in valid if i != q and len(w) == len(v)))[:5]
+    for q in {i for i, _ in valid if i % 50 == 0}:
+        asks = [v for i, v in valid if i == q]  # two rows share id 50
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for v in asks for i, w in valid if i != q and len(w) == len(v))[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert topk.top_k(table.limit(0), table.limit(0)).collect() == []
+
+
+def test_top_k_of_large_numbers_and_clashing_names(spark):
+    big = [(i, [2.0**40 + i, -(2.0**20) * i, 1.0], 1) for i in range(60)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>, score int")
+    table = topk.integers(df, 1)
+    with pytest.raises(ArithmeticError):
+        topk.top_k(topk.integers(df, 2**22), table)
+    half = topk.integers(df.withColumn("embedding", F.transform("embedding", lambda x: x / 2**12)), 1)  # sums beyond 2**53
+    vectors = {r["vec_id"]: r["v"] for r in half.collect()}
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(half, half.where("vec_id % 50 = 0")).collect()]
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(vectors[q], w, strict=True)), i) for i, w in vectors.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(got) == want
