@@ -18,6 +18,8 @@ are ignored, by ``redact`` kept; an empty table gives no row and all-abstaining
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -58,13 +60,34 @@ _CONTEXT = r"(?i)(?:token|passw(?:or)?d|pwd|secret|api.?key|access.?key|credenti
 _PATTERNS = 3 ** len(LABELERS) * 4 * 4 * 3
 
 
+_BLOCK = 64  # elements that are gone through one by one
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; inside a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _block_numbers(values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _running(values: Column, pick: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of numbers from 0 on, what those before it give; by blocks, so that long arrays don't take the square of their length."""
+    upto = lambda v, i, base: F.aggregate(F.slice(v, (i - i % _BLOCK + 1).cast("int"), (i % _BLOCK).cast("int")), base, pick)
+    block = lambda v: F.transform(_block_numbers(v), lambda b: F.aggregate(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), pick))
+    bases = lambda sums: F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), pick))
+    return _let(values, lambda v: _let(_let(block(v), bases), lambda at: F.transform(v, lambda _, i: upto(v, i, F.get(at, F.floor(i / _BLOCK).cast("int"))))))
+
+
 def _found(text: Column, pattern: str, hint: str | None) -> Column:
-    """All matches of a pattern as an array of (start, hit)."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    length = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.char_length(x))
-    spans = F.transform(hits, lambda h, i: F.struct((length(F.slice(gaps, F.lit(1), i + 1)) + length(F.slice(hits, F.lit(1), i))).alias("start"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,hit:string>>")
+    """All matches of a pattern as an array of (start, hit, before), the last of what stands between the match before and this one."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    gap = lambda p, i: F.get(p["gaps"], i)
+    steps = lambda p: F.transform(p["hits"], lambda h, i: F.char_length(gap(p, i)) + F.char_length(h))
+    one = lambda p, at, h, i: F.struct((F.get(at, i) + F.char_length(gap(p, i))).alias("start"), h.alias("hit"), F.right(gap(p, i), F.lit(24)).alias("before"))
+    spans = _let(both, lambda p: _let(_running(steps(p), lambda a, x: a + x), lambda at: F.transform(p["hits"], lambda h, i: one(p, at, h, i))))
+    none = F.array().cast("array<struct<start:int,hit:string,before:string>>")
     maybe = text.rlike("[0-9]") if hint is None else F.contains(text, F.lit(hint))
     return F.when(maybe, spans).otherwise(none)
 
@@ -106,8 +129,7 @@ def _candidates(text: Column, base: Column) -> Column:
     """Array of candidates that don't overlap a base span, with votes and features."""
 
     def judged(kind: str, x: Column) -> Column:
-        hit = x["hit"]
-        before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+        hit, before = x["hit"], x["before"]
         vote = lambda yes, no=None: F.when(yes, 1).otherwise(F.when(no, -1).otherwise(0) if no is not None else F.lit(0))
         n, digits = F.char_length(hit), F.char_length(_digits(hit))
         shaped = (digits * 5 >= n) & (n >= 16) if kind == "secret" else digits.isin(9, 10)
@@ -124,8 +146,15 @@ def _candidates(text: Column, base: Column) -> Column:
         found = _found(text, _CANDIDATES[k], "dot" if k == "email" else None)
         return F.when(hints[k], F.transform(found, lambda x: judged(k, x))).otherwise(F.array().cast(kind))
 
+    def blocks(spans: Column) -> Column:
+        part = lambda b: F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK))
+        return F.transform(_block_numbers(spans), lambda b: _let(part(b), lambda x: F.struct(F.array_min(x["start"]).alias("start"), F.array_max(x["end"]).alias("end"), x.alias("of"))))
+
     own = map(of, _CANDIDATES)
-    return F.filter(F.concat(*own), lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (c["end"] > b["start"])))
+    meets = lambda c, b: (c["start"] < b["end"]) & (c["end"] > b["start"])
+    sorted_ = F.array_sort(F.transform(base, lambda b: F.struct(b["start"], b["end"])))
+    apart = lambda all_, base_: F.filter(all_, lambda c: ~F.exists(base_, lambda b: meets(c, b) & F.exists(b["of"], lambda x: meets(c, x))))
+    return _let(F.concat(*own), lambda all_: F.when(F.size(all_) == 0, all_).otherwise(_let(_let(sorted_, blocks), lambda base_: apart(all_, base_))))
 
 
 @dataclass
@@ -202,16 +231,16 @@ def _accepts(c: Column, w: np.ndarray) -> Column:
     return reduce(lambda a, b: a + b, terms) > 0
 
 
-def with_spans(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with ``base`` and ``spans``: arrays of (kind, start, end), by kind as listed in ``KINDS``, then by start."""
+def with_spans(docs: DataFrame, weights: np.ndarray, base: str = "base", spans: str = "spans") -> DataFrame:
+    """docs with columns ``base`` and ``spans``: arrays of (kind, start, end), by kind as listed in ``KINDS``, then by start."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("base", base_spans(text))
+    out = docs.withColumn(base, base_spans(text))
     if not weights.any():
-        return out.withColumn("spans", F.col("base"))
-    more = F.transform(F.filter(_candidates(text, F.col("base")), lambda c: _accepts(c, weights)), lambda c: F.struct(c["kind"], c["start"], c["end"]))
-    out = out.withColumn("more", F.array_sort(more))
-    ordered = lambda k: F.array_sort(F.filter(F.concat("base", "more"), lambda s: s["kind"] == k))
-    return out.withColumn("spans", F.when(F.size("more") == 0, F.col("base")).otherwise(F.concat(*(ordered(k) for k in KINDS)))).drop("more")
+        return out.withColumn(spans, F.col(base))
+    more = F.transform(F.filter(_candidates(text, F.col(base)), lambda c: _accepts(c, weights)), lambda c: F.struct(c["kind"], c["start"], c["end"]))
+    ordered = lambda all_, k: F.array_sort(F.filter(all_, lambda s: s["kind"] == k))
+    every = lambda m: F.when(F.size(m) == 0, F.col(base)).otherwise(_let(F.concat(F.col(base), m), lambda all_: F.concat(*(ordered(all_, k) for k in KINDS))))
+    return out.withColumn(spans, _let(more, every))
 
 
 def _joined(spans: Column) -> Column:
@@ -227,19 +256,32 @@ def detect(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.encode(_joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with every span of ``text`` replaced by its kind, such as [EMAIL]; n_chars follows the text."""
-    columns = docs.columns
-    found = with_spans(docs.drop("base", "spans"), train(docs)).withColumn("ordered", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _hidden(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by its kind.  Spans that overlap hide all they cover; blocks of spans have their own part of the text cut out first."""
+    substr = lambda x, begin, end: F.substr(x, begin + 1, end - begin)
+
+    def piece(s: Column, reach: Column, part: Column) -> Column:
+        # a span that begins inside an earlier one only adds what lies beyond it to what is hidden
+        return F.when(s["start"] >= reach, F.concat(substr(part["text"], reach - part["at"], s["start"] - part["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+    def block(o: Column, reach: Column, last: Column, b: Column) -> Column:
+        at = F.get(reach, b * _BLOCK)
+        part = F.struct(at.alias("at"), substr(text, at, F.coalesce(F.get(reach, b * _BLOCK + _BLOCK), last)).alias("text"))
+        return _let(part, lambda p: F.array_join(F.transform(F.slice(o, b * _BLOCK + 1, F.lit(_BLOCK)), lambda s, i: piece(s, F.get(reach, b * _BLOCK + i), p)), ""))
 
-    def step(acc: Column, s: Column) -> Column:
-        here = F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        # a span that begins inside an earlier one adds what lies beyond it to what is hidden
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], here).otherwise(acc["out"]).alias("out"))
+    def all_(o: Column, reach: Column) -> Column:
+        last = F.array_max(o["end"])
+        return F.concat(F.array_join(F.transform(_block_numbers(o), lambda b: block(o, reach, last, b)), ""), F.substr(text, last + 1))
 
-    clean = F.aggregate("ordered", state, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    found = found.withColumn("text", F.when(F.size("ordered") > 0, clean).otherwise(F.col("text")))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    clean = _let(ordered, lambda o: _let(_running(o["end"], lambda a, x: F.greatest(a, x)), lambda reach: all_(o, reach)))
+    return F.when(F.size(spans) > 0, clean).otherwise(text)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with every span of ``text`` replaced by its kind, such as [EMAIL]; n_chars follows the text."""
+    columns, name = docs.columns, f"_{uuid.uuid4().hex}"
+    found = with_spans(docs, train(docs), f"{name}b", f"{name}s").withColumn("text", _hidden(F.col("text"), F.col(f"{name}s")))
     if "n_chars" in columns:
         found = found.withColumn("n_chars", F.char_length("text").cast("long"))
-    return found.select(*columns)
+    return found.select(*(F.col(f"`{c}`") for c in columns))
