@@ -14,7 +14,7 @@ Characters without a piece become the pieces of their UTF-8 bytes.  Encoding is
 model takes for a space, goes by its bytes.  ``decode`` gives back the text.
 
 Defined results: a null or empty text has no pieces; repeated rows are encoded each; other columns are kept; an empty
-table gives no row.  A worker keeps the words it has encoded, at most ``keep`` of them, then starts anew.
+table gives no row.  A worker keeps the words it has encoded, about ``keep`` bytes of them at most, then starts anew.
 """
 
 from __future__ import annotations
@@ -74,6 +74,7 @@ class Encoder:
         self.longest = max(map(len, v.ids), default=1)
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        self.coded = {p: i.to_bytes(4, "little") for p, i in v.ids.items()}
         self.split = re.compile(r"\n| +[^ \n]*|[^ \n]+" if not any("\n" in p for p in v.ids) else r" +[^ ]*|[^ ]+")
         if any(" " in p.lstrip(" ") for p in v.ids):
             self.split = re.compile(r"(?s).+")  # pieces that span words: a text is one word
@@ -104,17 +105,20 @@ class Encoder:
         return ok
 
     def encode_sorted(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
-        """(word, ids as 4-byte integers) of sorted words, each beginning with the states of the prefix it shares."""
+        """(word, ids as 4-byte integers) of sorted words, each beginning with the states of the prefix it shares.
+
+        A state is the last piece, where it begins and the score: memory grows with a word's length, not with its square.
+        """
         ids, scores, longest, merges = self.v.ids, self.v.scores, self.longest, self.v.merges
         last: list[str | None] = [None]  # the piece that ends each prefix; None where bytes do, or at the start
-        back, total, path = [0], [0.0], [b""]
+        back, total = [0], [0.0]
         earlier = ""
         for word in words:
             n = 0
             most = min(len(word), len(earlier))
             while n < most and word[n] == earlier[n]:
                 n += 1
-            del last[n + 1 :], back[n + 1 :], total[n + 1 :], path[n + 1 :]
+            del last[n + 1 :], back[n + 1 :], total[n + 1 :]
             for end in range(n + 1, len(word) + 1):
                 found, at, best = None, -1, -1e300
                 for begin in range(max(0, end - longest), end):
@@ -128,12 +132,15 @@ class Encoder:
                             found, at, best = piece, begin, total[begin] + scores[piece]
                 if found is not None:
                     last.append(found), back.append(at), total.append(best)
-                    path.append(path[at] + ids[found].to_bytes(4, "little"))
                 else:
                     last.append(None), back.append(end - 1), total.append(total[end - 1] - 1e6)
-                    path.append(path[end - 1] + b"".join(self.v.bytes_[b].to_bytes(4, "little") for b in word[end - 1].encode()))
-            earlier = word
-            yield word, path[len(word)]
+            earlier, end, path = word, len(word), []
+            while end:
+                piece = last[end]
+                path.append(self.coded[piece] if piece is not None else b"".join(self.v.bytes_[b].to_bytes(4, "little") for b in word[end - 1].encode()))
+                end = back[end]
+            path.reverse()
+            yield word, b"".join(path)
 
     def words(self, text: str) -> list[str]:
         return self.split.findall((" " if self.v.dummy_prefix else "") + text) if text else []
@@ -145,14 +152,15 @@ class Encoder:
 
 def _encoded(sent, keep: int, others: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = Encoder(sent.value), {}
+        encoder, known, size = Encoder(sent.value), {}, 0
         for part in slices(batches, "text"):
             texts = [x or "" for x in part.column("text").to_pylist()]
             words = [encoder.words(x) for x in texts]
             new = {w for ws in words for w in ws if w not in known}
-            if len(known) + len(new) > keep:
+            if size + sum(map(len, new)) + 50 * len(new) > keep:
                 known.clear(), encoder.fits.clear()
-                new = {w for ws in words for w in ws}
+                new, size = {w for ws in words for w in ws}, 0
+            size += sum(map(len, new)) + 50 * len(new)
             known.update(encoder.encode_sorted(sorted(new)))
             data = [b"".join(map(known.__getitem__, ws)) for ws in words]
             ids = np.frombuffer(b"".join(data), np.int32)
@@ -164,7 +172,7 @@ def _encoded(sent, keep: int, others: list[str]):
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, keep: int = 400_000, text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, keep: int = 24_000_000, text: bool = False) -> DataFrame:
     """The columns of docs (the text only if asked for), n_pieces, ids, and whether decoding the ids gives the text back."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # a fixed size, the model's
     docs = docs.drop("n_pieces", "ids", "round_trip")
