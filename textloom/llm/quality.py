@@ -3,10 +3,15 @@
 P(grade <= j) = sigmoid(theta_j - w x) with weights w shared by all grades over hashed text features and ordered
 thresholds theta.  It gives a document's expected grade and its tail probability P(grade >= g), by which it is selected.
 
-Grades here: 0 rated of low quality, 1 rated toxic, 2 rated good and not toxic.  x holds which hashed words, beginnings
-and ends of words a whole text has, binned shares of capitals, symbols and repeated words, and its binned length.
+Grades here: 0 rated toxic, 1 rated of low quality, 2 rated good and not toxic.  x holds which hashed words, beginnings
+and ends of words a whole text has, binned shares of capitals, symbols and repeated words, and its binned length.  Toxic is
+the lowest grade: insults add up, and what adds up may go as low as it likes there.
 
-The model is fitted on at most ``per_grade`` rated documents of each grade (those with the smallest hash of the text), a
+Weights are held at or below 0 (evidence counts against a document; short ones aren't rejected for want of evidence), and only
+features whose share differs between grades by ``least`` standard errors take part, as many as chance gives one or two of
+2**BITS: so a word that tells is found in small samples too.
+
+The model is fitted on at most ``per_grade`` rated documents of each grade (those with the smallest hash of doc_id), a
 documented bound; every document is scored.  Weights stay below 2**BITS numbers, so they can be broadcast.
 
 Defined results: a null or empty text has only binned features; a document rated twice counts as two; ratings that are null
@@ -30,6 +35,7 @@ from textloom.llm.store import written
 from textloom.llm.words import _bytes, mix, slices, words_of
 
 BITS = 18
+_PARTS = 32  # in which ratings are ranked first
 _CLASS = np.zeros(256, np.uint8)  # 1 letter or digit, 2 capital, 3 space, 4 symbol
 _CLASS[33:127] = 4
 _CLASS[48:58] = _CLASS[97:123] = 1
@@ -95,12 +101,12 @@ def _telling(counts: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
     for inside, m in zip(counts, sizes, strict=True):
         if 0 < m < n:
             spread = np.sqrt(p * (1 - p) * (1 / m + 1 / (n - m))) + 1e-9
-            keep |= (np.abs(inside / m - (df - inside) / (n - m)) > least * spread) & (df >= 10)
+            keep |= (np.abs(inside / m - (df - inside) / (n - m)) > least * spread) & (df >= 3)
     return keep
 
 
-def fit(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, df: np.ndarray, penalty: float = 2e-6, steps: int = 250) -> Model:
-    """Penalised maximum likelihood over telling features x scaled by log(n / df), by full-batch Adam. Deterministic."""
+def fit(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, df: np.ndarray, penalty: float = 2e-4, steps: int = 250) -> Model:
+    """Penalised maximum likelihood over telling features x scaled by log(n / df), by full-batch Adam with steps that get smaller. Deterministic."""
     k = int(grade.max())
     scale = np.where(df > 0, np.log(len(grade) / np.maximum(df, 1)) / 3, 0)
     weight = np.bincount(grade, minlength=k + 1).clip(1)[grade] ** -0.5
@@ -122,17 +128,19 @@ def fit(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, df: np.ndarray, pen
         grad_gap = -suffix * np.concatenate([[1], np.exp(gap[1:])])
         g = np.concatenate([grad_w, grad_gap])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        move = 0.075 * (1 + np.cos(np.pi * step / (steps + 1))) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, gap = np.minimum(w - move[:-k], 0), gap - move[-k:]
     return Model((w * scale).astype(np.float32), np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])])))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, least: float = 10.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, least: float = 4.5) -> Model:
     """Fit on a bounded sample of the rated documents; only counts and their telling features come to the driver."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
     known = labels.select("doc_id", grade.alias("grade")).where("grade is not null")
     order = F.xxhash64("doc_id", F.lit(3))
-    some = known.withColumn("n", F.row_number().over(Window.partitionBy("grade").orderBy(order, "doc_id"))).where(F.col("n") <= per_grade)
+    # the first of each part come first, so that no task ranks all ratings
+    ranked = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("grade", *by).orderBy(order, "doc_id"))).where(F.col("n") <= per_grade)
+    some = ranked(ranked(known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(_PARTS))), "part"))
     sample = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "grade")), "doc_id").select("grade", "text")  # at most 3 * per_grade rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +178,18 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, least: floa
             at = np.concatenate([[0], np.cumsum(mask[x])])[np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("x")).to_numpy())])]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x[mask[x]]))], names=["grade", "x"])
 
-    got = rated.mapInArrow(telling, "grade int, x array<int>").toArrow()
-    rows = sorted(zip(got.column("grade").to_pylist(), got.column("x").to_pylist(), strict=True))  # a fixed order of rows, so that sums don't depend on how tasks ended
-    y = np.searchsorted(levels, np.array([g for g, _ in rows]))
-    x = np.array([f for _, fs in rows for f in fs], np.int64)
-    model = fit(x, np.repeat(np.arange(len(rows)), [len(fs) for _, fs in rows]), y, np.where(keep, counts.sum(axis=0), 0))
+    got = rated.mapInArrow(telling, "grade int, x array<int>").toArrow().combine_chunks()
+    grades, lists = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in got.columns)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    grades, flat = grades.to_numpy(), lists.flatten().to_numpy()
+    # a fixed order of rows, so that sums don't depend on how tasks ended
+    sums = np.concatenate([[0], np.cumsum(mix(flat.astype(np.uint64)), dtype=np.uint64)])
+    begins = np.concatenate([[0], ends[:-1]])
+    order = np.lexsort((sums[ends] - sums[begins], ends - begins, grades))
+    size = (ends - begins)[order]
+    at = np.repeat(begins[order] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    owner = np.repeat(np.arange(len(order), dtype=np.int32), size)
+    model = fit(flat[at], owner, np.searchsorted(levels, grades[order]), np.where(keep, counts.sum(axis=0), 0))
     if len(levels) < 3 or levels[-1] < 2:  # a grade nobody gave: its threshold falls together with its neighbour's
         at = [model.thresholds[np.searchsorted(levels, g) - 1] if 0 < np.searchsorted(levels, g) < len(levels) else (-50.0 if np.searchsorted(levels, g) == 0 else 50.0) for g in (1, 2)]
         return Model(model.weights, np.array(at))
