@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each one operator over all that the stage before it kept.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next one's
-docs.  All but the last return the columns of ``documents``.
+docs.  All but the last return the columns of ``documents``.  A stage's own tables go when the next stage begins.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, neardup, pieces, pii, quality, store
 
@@ -18,35 +17,32 @@ ORACLE_SQL = None  # SQL can't express hashed regression or piece-wise encoding
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier rejects go."""
-    store.release(spark)
-    return quality.select(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    with store.owned(spark, "pipeline"):
+        return quality.select(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows of one id count as one document."""
-    store.release(spark)
-    found = neardup.link_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    same = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").withColumn("_same", same).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    """Of each group of near duplicates the document with the smallest id stays, with all its different texts."""
+    with store.owned(spark, "pipeline"):
+        return neardup.survivors(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    store.release(spark)
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with store.owned(spark, "pipeline"):
+        return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data and secrets in their texts are replaced by their kind."""
-    store.release(spark)
-    return pii.redact(docs)
+    with store.owned(spark, "pipeline"):
+        return pii.redact(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    store.release(spark)
-    return pieces.encode(docs)
+    with store.owned(spark, "pipeline"):
+        return pieces.encode(docs)
 
 
 STAGES = [
@@ -59,9 +55,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, with a table in the shared folder between each two."""
+    """All stages over ``documents``, with a table in the shared folder between each two, which goes once it was read."""
     docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{store.shared_dir(spark)}/textloom/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        if i:
+            store.delete(spark, f"{at}/{i - 1}")
     return docs
