@@ -5,32 +5,32 @@ from pyspark.sql import functions as F
 
 from textloom.operators import classify, graph, vector
 
-CATS = [(0, "cats purr"), (1, "cats meow"), (2, "dogs howl"), (3, "dogs bark")]
+BEES = [(0, "bees buzz"), (1, "bees hum"), (2, "owls hoot"), (3, "owls fly")]
 
 
 @pytest.fixture(scope="module")
 def p(spark):
-    return vector.postings(spark.createDataFrame(CATS, "doc_id long, text string")).persist()
+    return vector.postings(spark.createDataFrame(BEES, "doc_id long, text string")).persist()
 
 
 def test_weights(p):
     df = {r["term"]: (r["df"], round(r["idf"], 2)) for r in vector.document_frequency(p).collect()}
-    assert df["cats"] == (0.5, 0.69) and df["purr"] == (0.25, 1.39)
+    assert df["bees"] == (0.5, 0.69) and df["buzz"] == (0.25, 1.39)
     w = {r["term"]: round(r["w"], 2) for r in vector.weights(p).where("doc_id = 0").collect()}
-    assert w == {"cats": 0.35, "purr": 0.69}
+    assert w == {"bees": 0.35, "buzz": 0.69}
 
 
 def test_similarity_and_search(p):
     v = vector.weights(p)
     sim = {(r["query_id"], r["doc_id"]): round(r["similarity"], 2) for r in vector.neighbors(v, v).collect()}
     assert sim[0, 1] == 0.20 and (0, 2) not in sim
-    assert [(r["doc_id"], round(r["similarity"], 2)) for r in vector.search(p, ["meow"]).collect()] == [(1, 0.89)]
+    assert [(r["doc_id"], round(r["similarity"], 2)) for r in vector.search(p, ["hum"]).collect()] == [(1, 0.89)]
     pairs = p.sparkSession.createDataFrame([(0, 1), (0, 2)], "a long, b long")
     assert {r["b"]: round(r["distance"], 1) for r in vector.distances(v, pairs).collect()} == {1: 0.8, 2: 1.0}
 
 
 def test_distances(spark):
-    v = spark.createDataFrame([(1, "cat", 1.0), (2, "cat", 0.5), (2, "dog", 1.0)], "doc_id long, term string, w double")
+    v = spark.createDataFrame([(1, "bee", 1.0), (2, "bee", 0.5), (2, "owl", 1.0)], "doc_id long, term string, w double")
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     got = {m: round(vector.distances(v, pairs, m).first()["distance"], 2) for m in (vector.COSINE, vector.EUCLIDEAN, vector.MANHATTAN, vector.HAMMING)}
     assert got == {"cosine": 0.55, "euclidean": 1.25, "manhattan": 1.5, "hamming": 1.0}
@@ -43,17 +43,17 @@ def test_frequent_sets(spark):
 
 
 def test_cooccurrence(spark):
-    docs = spark.createDataFrame([("The black cat sat on the mat.",)], "text string")
-    got = vector.cooccurrence(docs, vector.words(F.lower("text")), (-1, 1), term1=F.col("term1") == "cat").collect()
-    assert {r["term2"]: r["n"] for r in got} == {"black": 1, "cat": 1, "sat": 1}
+    docs = spark.createDataFrame([("The brown hen ran to the barn.",)], "text string")
+    got = vector.cooccurrence(docs, vector.words(F.lower("text")), (-1, 1), term1=F.col("term1") == "hen").collect()
+    assert {r["term2"]: r["n"] for r in got} == {"brown": 1, "hen": 1, "ran": 1}
 
 
 def test_classifiers(p, spark):
-    labels = spark.createDataFrame([(0, "cat"), (1, "cat"), (2, "dog"), (3, "dog")], "doc_id long, label string")
-    new = vector.postings(spark.createDataFrame([(9, "dogs dogs purr"), (8, "cats meow")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(0, "bee"), (1, "bee"), (2, "owl"), (3, "owl")], "doc_id long, label string")
+    new = vector.postings(spark.createDataFrame([(9, "owls owls buzz"), (8, "bees hum")], "doc_id long, text string"))
     for model in (classify.NaiveBayes(), classify.NaiveBayes(classify.BERNOULLI), classify.NearestNeighbors(2), classify.Perceptron()):
         got = {r["doc_id"]: r["predicted"] for r in model.train(vector.weights(p, vector.TF), labels).predict(vector.weights(new, vector.TF)).collect()}
-        assert got[8] == "cat", type(model)
+        assert got[8] == "bee", type(model)
 
 
 @pytest.fixture(scope="module")
@@ -108,7 +108,7 @@ def test_queries_take_whole_tables(spark, tmp_path):
     from textloom.plans import q_text, q_vector
 
     kinds = {i: i // 2 % 2 for i in range(12)}
-    texts = [(i, f"{'cats purr' if q else 'dogs bark'} w{i}") for i, q in kinds.items()]
+    texts = [(i, f"{'bees buzz' if q else 'owls fly'} w{i}") for i, q in kinds.items()]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, q, 0) for i, q in kinds.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     # by brute force: all training documents that share a word with a held-out one are of its own kind

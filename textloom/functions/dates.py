@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,14 +14,24 @@ FORMATS = (
 )
 
 
+def _shape(layout: str) -> str:
+    """A regular expression that all texts of a layout meet."""
+    part = lambda m: re.escape(m[1]) if m[1] is not None else ("[A-Za-z.]+" if m[0].startswith("MMM") else r"\S+" if m[0][0] in "ZXO" else r"\d+") if m[2] else re.escape(m[0])
+    return "^" + re.sub(r"'([^']*)'|([A-Za-z])\2*|.", part, layout) + "$"
+
+
 def parse(c: str | Column) -> Column:
     """Timestamp of a string in any of ``FORMATS``, of an ISO week (2024-W05-3) or of Unix seconds; null if none fits."""
     s = F.trim(F.col(c) if isinstance(c, str) else c)
     unix = F.timestamp_seconds(F.when(s.rlike(r"^\d{9,10}$"), s.try_cast("long")))
     week = F.when(s.rlike(r"^\d{4}-?W\d{2}-?[1-7]$"), iso_week(*(F.regexp_extract(s, r"^(\d{4})-?W(\d{2})-?([1-7])$", i).try_cast("int") for i in (1, 2, 3))).cast("timestamp"))
-    # of patterns with a weekday's name only what follows it is read: formatters differ in how they take it
+    # of layouts with a weekday's name only what follows it is read: formatters differ in how they take it
     plain = F.regexp_replace(s, r"^[A-Za-z]{3}, ", "")
-    tries = [F.try_to_timestamp(plain if f.startswith("EEE") else s, F.lit(f.removeprefix("EEE, "))) for f in FORMATS]
+    # a value is parsed only by formats whose shape it has: failed parses are dear
+    tries = []
+    for f in FORMATS:
+        text, f = (plain, f.removeprefix("EEE, ")) if f.startswith("EEE") else (s, f)
+        tries.append(F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))))
     return F.coalesce(unix, week, *tries)
 
 
@@ -52,5 +64,5 @@ def difference(a: str | Column, b: str | Column) -> Column:
     return F.struct(F.floor(s / 86400).alias("days"), F.pmod(s, F.lit(86400)).alias("seconds"))
 
 
-def formatted(c: str | Column, pattern: str) -> Column:
-    return F.date_format(c, pattern)
+def formatted(c: str | Column, layout: str) -> Column:
+    return F.date_format(c, layout)

@@ -95,8 +95,8 @@ class GainTree:
     def train(self, v: DataFrame, labels: DataFrame) -> GainTree:
         features = [r["term"] for r in vector.feature_selection(v, labels, top=200, method=self.method).collect()]
         joined = v.where(F.col("term").isin(features)).join(labels, "doc_id", "right").groupBy("doc_id", "label").agg(F.collect_set("term").alias("terms"))
-        patterns = joined.groupBy("label", F.array_sort("terms").alias("terms")).count().collect()
-        self.tree = self._grow([(r["label"], frozenset(r["terms"]), r["count"]) for r in patterns], features, self.depth)
+        expressions = joined.groupBy("label", F.array_sort("terms").alias("terms")).count().collect()
+        self.tree = self._grow([(r["label"], frozenset(r["terms"]), r["count"]) for r in expressions], features, self.depth)
         return self
 
     def _grow(self, rows: Sequence, features: Sequence[str], depth: int) -> dict:

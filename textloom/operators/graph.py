@@ -13,15 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: a reliable checkpoint, in a folder of our own only if none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
+from textloom.functions.lineage import cut as _cut
 
 
 def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -48,13 +40,17 @@ def links(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, directed: bool = False, backwards: bool = False, stochastic: bool = False, heuristic: Column | None = None) -> DataFrame:
-    """(a, b, cost): costs, mirrored unless directed; stochastic ones sum to 1 for each a."""
+    """(a, b, cost): costs, mirrored unless directed; stochastic ones sum to 1 for each a.
+
+    Of repeated edges the last one counts, by a column ``ordinal`` of the edges; without one the cheapest.
+    """
     cost = 1 - 0.5 * F.coalesce(F.col("weight"), F.lit(0.0)) + (F.lit(0.0) if heuristic is None else heuristic)
     a, b = ("dst", "src") if backwards else ("src", "dst")
-    out = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), cost.alias("cost"))
+    rest = [F.col("ordinal").alias("_n")] if "ordinal" in edges.columns else []
+    out = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), cost.alias("cost"), *rest)
     if not directed:
-        out = out.unionAll(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost"))
-    out = out.groupBy("a", "b").agg(F.min("cost").alias("cost"))
+        out = out.unionAll(out.select(F.col("b").alias("a"), F.col("a").alias("b"), *out.columns[2:]))
+    out = out.groupBy("a", "b").agg((F.max_by("cost", "_n") if "_n" in out.columns else F.min("cost")).alias("cost"))
     return out.withColumn("cost", F.col("cost") / F.sum("cost").over(Window.partitionBy("a"))) if stochastic else out
 
 
@@ -343,3 +339,42 @@ def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
         known = known.unionAll(last)
         if d % 8 == 0:
             known = _cut(known)
+
+
+def ranked(nodes: DataFrame, by: str, threshold: float = 0.0) -> DataFrame:
+    """Nodes whose weight or centrality is at least ``threshold``, largest first; of equals the smaller node."""
+    return nodes.where(F.col(by) >= threshold).orderBy(F.desc(by), "id")
+
+
+def depth_first(edges: DataFrame, roots: DataFrame, directed: bool = False, bound: int = 1_000_000) -> DataFrame:
+    """(root, node, visited): the order in which each root's nodes are visited depth-first, smaller neighbours first.
+
+    A visit depends on all before it, so each root's component goes to one task; above ``bound`` edges an error is raised.
+    """
+    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    both = both if directed else both.unionAll(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
+    reached = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
+    front = reached
+    while not front.isEmpty():
+        new = front.join(both, front.node == both.u).select("root", F.col("v").alias("node")).distinct().join(reached, ["root", "node"], "left_anti")
+        front = _cut(new)
+        reached = _cut(reached.unionAll(front))
+    own = reached.join(both, reached.node == both.u, "left").select("root", "node", "v")
+
+    def run(rows):
+        if len(rows) > bound:
+            raise ValueError("a component is too large to be visited in one order")
+        root = rows["root"].iloc[0]
+        beside = {n: sorted(x for x in set(g) if x is not None and x == x) for n, g in rows.groupby("node")["v"]}
+        seen, stack, out = set(), [root], []
+        while stack:
+            n = stack.pop()
+            if n not in seen:
+                seen.add(n), out.append(n)
+                stack += [x for x in reversed(beside.get(n, [])) if x not in seen]
+        import pandas as pd
+
+        return pd.DataFrame({"root": root, "node": out, "visited": range(len(out))})
+
+    kind = dict(roots.dtypes)["id"]
+    return own.groupBy("root").applyInPandas(run, f"root {kind}, node {kind}, visited long")

@@ -34,9 +34,9 @@ _SINGULAR = {
 
 
 def _apply(rules: list, word: str) -> str:
-    for pattern, to in rules:
-        if re.search(pattern, word):
-            return re.sub(pattern, to, word, count=1)
+    for expression, to in rules:
+        if re.search(expression, word):
+            return re.sub(expression, to, word, count=1)
     return word
 
 

@@ -7,7 +7,10 @@ since a left join on a repeated key would otherwise change the rows.  Groups com
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import time
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -22,7 +25,7 @@ ORDINAL = "_row"
 
 @dataclass(frozen=True)
 class Filter:
-    """One comparison: =, i=, !=, <, >, <=, >=, between (:), like or in. Wildcards (*) make = a pattern, lists a membership."""
+    """One comparison: =, i=, !=, <, >, <=, >=, between (:), like or in. Wildcards (*) make = a wildcard match, lists a membership."""
 
     field: str
     value: Any
@@ -93,13 +96,13 @@ def _wild(v: Any) -> bool:
     return isinstance(v, str) and (v.startswith("*") or v.endswith("*"))
 
 
-def _pattern(v: str) -> str:
+def _like(v: str) -> str:
     inner = v.removeprefix("*").removesuffix("*")
     return ("%" if v.startswith("*") else "") + inner + ("%" if v.endswith("*") else "")
 
 
 def comparison(column: Column, value: Any, how: str = "=") -> Column:
-    """The predicate of one comparison. Patterns ignore ASCII case, as LIKE does in the usual embedded database."""
+    """The predicate of one comparison. Matches ignore ASCII case, as LIKE does in the usual embedded database."""
     negative = how in ("!=", "<>")
     flip = (lambda c: ~c) if negative else (lambda c: c)
     if how in ("=", "==", "!=", "<>", "i=", "like", "in", "between", ":"):
@@ -113,9 +116,9 @@ def comparison(column: Column, value: Any, how: str = "=") -> Column:
                 return flip(reduce(lambda a, b: a | b, (comparison(column, v) for v in values)))
             return flip(column.isin(values))
         if how == "like" or (_wild(value) and how != "i="):
-            return flip(column.ilike(_pattern(value) if _wild(value) else value))
+            return flip(column.ilike(_like(value) if _wild(value) else value))
         if how == "i=":
-            return column.ilike(_pattern(value)) if _wild(value) else F.lower(column) == str(value).lower()
+            return column.ilike(_like(value)) if _wild(value) else F.lower(column) == str(value).lower()
         return flip(column == value)
     return {"<": column < value, ">": column > value, "<=": column <= value, ">=": column >= value}[how]
 
@@ -370,6 +373,29 @@ class Database:
                 out.append(Relation(g, f, a, turned.get(j, j)))
         return out
 
+    @contextmanager
+    def transaction(self) -> Iterator[Database]:
+        """All edits inside, or, if an error ends it, none: tables are snapshots, so the ones before are kept."""
+        before = dict(self.tables), dict(self.keys), dict(self.defaults), list(self.links)
+        try:
+            yield self
+        except BaseException:
+            self.tables, self.keys, self.defaults, self.links = before
+            raise
+
+    def commit(self, path: str) -> None:
+        """Write every table under a new version of ``path``; readers go by the version that was complete last."""
+        version = f"{path}/{uuid.uuid4().hex}"
+        for name, df in self.tables.items():
+            df.write.parquet(f"{version}/{name}")
+        spark = self.spark
+        spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
+
+    def rollback(self, path: str) -> None:
+        """Back to the tables of the last commit."""
+        last = self.spark.read.parquet(f"{path}/_versions").orderBy(F.desc("at")).first()["version"]
+        self.tables = {name: self.spark.read.schema(df.schema).parquet(f"{last}/{name}") for name, df in self.tables.items()}
+
     def execute(self, sql: str, **args: Any) -> DataFrame:
         """SQL over the tables, with named parameters."""
         for name, df in self.tables.items():

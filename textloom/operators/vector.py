@@ -227,7 +227,10 @@ def intertextuality(grams: DataFrame) -> DataFrame:
     """(a, b, weight): share of a's n-gram occurrences (doc_id, gram) that are of distinct n-grams shared with b, at most 1."""
     counts = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("c"))
     total = counts.groupBy("doc_id").agg(F.sum("c").alias("total"))
-    a, b = counts.select(F.col("doc_id").alias("a"), "gram"), counts.select(F.col("doc_id").alias("b"), "gram")
+    # n-grams of one document meet nothing: they go before the join
+    several = counts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    met = counts.join(several, "gram", "left_semi")
+    a, b = met.select(F.col("doc_id").alias("a"), "gram"), met.select(F.col("doc_id").alias("b"), "gram")
     shared = a.join(b, "gram").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("s"))
     return shared.join(total.withColumnRenamed("doc_id", "a"), "a").select("a", "b", F.least(F.lit(1.0), F.col("s") / F.col("total")).alias("weight"))
 

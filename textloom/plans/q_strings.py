@@ -54,19 +54,20 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", strings.readability("text").alias("readability"))
 
 
-@query("string_deflood", r"SELECT doc_id, regexp_replace(text, 'e{3,}', 'ee', 'g') = regexp_replace(text, 'e{3,}', 'ee', 'g') AS same FROM documents")
+@query("string_deflood", r"SELECT p_partkey, substr(p_name, 1, 1) || 'ZZ!!' || p_size AS calm FROM part")
 def deflood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", (~strings.deflood("text", 2).rlike(r"(.)\1\1")).alias("same"))
+    loud = F.concat(F.substring("p_name", 1, 1), F.lit("ZZZZZ!!!!"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", strings.deflood(loud, 2).alias("calm"))
 
 
-@query("string_collapse", r"SELECT doc_id, length(list_aggregate(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '[ \x{00a0}]+', ' ', 'g'))), 'string_agg', chr(10))) AS n FROM documents")
+@query("string_collapse", r"SELECT doc_id, md5(list_aggregate(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '[ \x{00a0}]+', ' ', 'g'))), 'string_agg', chr(10))) AS hash FROM documents")
 def collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.char_length(strings.collapse_spaces("text")).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(strings.collapse_spaces("text")).alias("hash"))
 
 
-@query("string_find_urls_emails", r"""SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '(?:https?://|www\.)[^\s<>"''\])]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', '')))) AS urls, len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS emails FROM documents""")
+@query("string_find_urls_emails", r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:https?://|www\.)[^\s<>"''\])]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', '')))), ' ') AS urls, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))), ' ') AS emails FROM documents""")
 def find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(strings.urls("text")).cast("long").alias("urls"), F.size(strings.emails("text")).cast("long").alias("emails"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(strings.urls("text")), " ").alias("urls"), F.array_join(F.array_sort(strings.emails("text")), " ").alias("emails"))
 
 
 @query("string_between", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
@@ -74,9 +75,9 @@ def find_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.get(strings.between("<title>", "</title>", "html"), F.lit(0)), F.lit("")).alias("title"))
 
 
-@query("string_entities", "SELECT page_id, length(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS n FROM pages")
+@query("string_entities", "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS hash FROM pages")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.char_length(strings.encode_entities("html")).cast("long").alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(strings.encode_entities("html")).alias("hash"))
 
 
 @query("string_split_document", r"WITH w AS (SELECT unnest(regexp_split_to_array(replace(lower(replace(text, '-' || chr(10), '')), chr(10), ' '), '[.,!?;: ]')) AS word FROM benchmark) SELECT trim(word) AS word, count(*) AS n FROM w WHERE length(trim(word)) >= 4 AND trim(word) NOT IN ('that', 'with') GROUP BY 1")

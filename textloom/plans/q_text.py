@@ -35,9 +35,9 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nlp.find_keywords(_parsed(spark, sf_dir), 5)
 
 
-@query("nlp_pattern_search")
+@query("nlp_expression_search")
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = matcher.matches(matcher.Pattern("{NP} IN {NP}"))
+    run = matcher.matches(matcher.Expression("{NP} IN {NP}"))
     return _parsed(spark, sf_dir).select("doc_id", F.explode(run("parsed")).alias("m")).select("doc_id", "m.*")
 
 
@@ -82,9 +82,9 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.url_parts("url").alias("u")).select("page_id", "u.protocol", "u.domain", "u.anchor", "u.page")
 
 
-@query("web_strip", r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')) AS n FROM pages")
+@query("web_strip", r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')) AS hash FROM pages")
 def strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.char_length(web.strip_comments(web.strip_css(web.strip_javascript(F.col("html"))))).cast("long").alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(web.strip_comments(web.strip_css(web.strip_javascript(F.col("html"))))).alias("hash"))
 
 
 @query("web_plaintext")
@@ -92,9 +92,9 @@ def plaintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.plaintext("html").alias("text"))
 
 
-@query("web_links", r"SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS links FROM pages")
+@query("web_links", r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), lambda u: regexp_extract(url, '^[a-z]+://[^/?#]*') || u), ' ') AS links FROM pages""")
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.size(web.links("html", "url")).cast("long").alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(web.links("html", "url"), lambda x: x["url"]), " ").alias("links"))
 
 
 @query("web_selector", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1), '\s+', ' ', 'g')) AS advert FROM pages")
@@ -108,9 +108,9 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.crawl(pages, pages.select("url"), steps=2, per_domain=5)
 
 
-@query("sheet_group", "SELECT o_orderpriority, count(*) AS n, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS states FROM orders WHERE o_orderkey < 200 GROUP BY 1")
+@query("sheet_group", "SELECT o_orderpriority, count(*) AS n, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS states FROM orders GROUP BY 1")
 def sheet_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("_row"), "o_orderpriority", F.lit(1).alias("n"), F.col("o_orderstatus").alias("states"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_row"), "o_orderpriority", F.lit(1).alias("n"), F.col("o_orderstatus").alias("states"))
     return files.Sheet(o).group("o_orderpriority", ["count", "group_concat"])
 
 

@@ -138,12 +138,12 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.cooccurrence(table(spark, sf_dir, "benchmark"), _tokens(), (-1, 2), term1=F.col("term1").startswith("th"))
 
 
-@query("vector_intertextuality", f"""WITH w AS (SELECT doc_id, {_T} AS t FROM documents), g AS (SELECT doc_id, unnest([array_to_string(t[i:i+4], ' ') FOR i IN range(1, len(t) - 3)]) AS gram FROM w WHERE len(t) BETWEEN 5 AND 200), c AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY 1, 2), n AS (SELECT doc_id, sum(c) AS total FROM c GROUP BY 1),
+@query("vector_intertextuality", f"""WITH w AS (SELECT doc_id, {_T} AS t FROM documents), g AS (SELECT doc_id, unnest([array_to_string(t[i:i+4], ' ') FOR i IN range(1, len(t) - 3)]) AS gram FROM w WHERE len(t) >= 5), c AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY 1, 2), n AS (SELECT doc_id, sum(c) AS total FROM c GROUP BY 1),
 s AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS s FROM c x JOIN c y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) SELECT a, b, least(1.0, s / total) AS weight FROM s JOIN n ON doc_id = a""")
 def intertextuality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.functions import strings
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", _tokens().alias("t")).where(F.size("t").between(5, 200))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _tokens().alias("t"))
     return vector.intertextuality(docs.select("doc_id", F.explode(strings.ngrams(F.col("t"), 5)).alias("g")).select("doc_id", F.array_join("g", " ").alias("gram")))
 
 
