@@ -180,7 +180,7 @@ def test_unigram_models_take_the_best_sum_of_scores():
 
 
 def test_url_filters_at_the_borders(spark):
-    e = spark.createDataFrame([("l", "block", "domain", "b.com", "add", "2024-01-02"), ("l", "block", "domain", "b.com", "remove", "2024-01-04"), ("l", "allow", "prefix", "a.b.com/x/", "add", "2024-01-03"), ("l", "block", "host", None, "add", "2024-01-01")], "list_id string, policy string, kind string, pattern string, action string, dated string").withColumn("dated", F.to_timestamp("dated"))
+    e = spark.createDataFrame([("l", "block", "domain", "b.com", "add", "2024-01-02"), ("l", "block", "domain", "b.com", "remove", "2024-01-04"), ("l", "allow", "prefix", "a.b.com/x/", "add", "2024-01-03"), ("l", "block", "host", None, "add", "2024-01-01")], "list_id string, policy string, kind string, rule string, action string, dated string").withColumn("dated", F.to_timestamp("dated"))
     c = [(1, "http://a.b.com/x/1", 1), (1, "http://a.b.com/x/1", 2), (1, "http://a.b.com/x/1", 3), (1, "http://a.b.com/x/1", 4), (2, "http://ab.com/", 2), (3, None, 2), (4, "nonsense", 2), (5, "http://B.com", None), (1, "http://a.b.com/x/1", 2)]
     df = spark.createDataFrame(c, "page_id long, url string, d int").withColumn("fetched_at", F.to_timestamp(F.format_string("2024-01-%02d", "d")))
     df = df.withColumn("fetched_at", F.when(F.col("d").isNotNull(), F.col("fetched_at")))

@@ -25,11 +25,11 @@ def luhn(d):
 
 def base(text):
     out = []
-    for kind, pattern in pii.BASE.items():
-        if kind == "email":  # the plain pattern takes quadratic time on a run without an @
-            matches = re.finditer(pattern.replace("+-]+@", "+-]++@"), text) if len(text) < 50000 or "." in text else []
+    for kind, expression in pii.BASE.items():
+        if kind == "email":  # the plain expression takes quadratic time on a run without an @
+            matches = re.finditer(expression.replace("+-]+@", "+-]++@"), text) if len(text) < 50000 or "." in text else []
         else:
-            matches = re.finditer(pattern, text) if kind != "ip" or "." in text else []
+            matches = re.finditer(expression, text) if kind != "ip" or "." in text else []
         for m in matches:
             d = re.sub("[^0-9]", "", m[0])
             ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
@@ -38,7 +38,7 @@ def base(text):
     return out
 
 
-def test_base_spans_match_plain_patterns(spark):
+def test_base_spans_match_plain_expressions(spark):
     rows = [(i, t, 1) for i, t in enumerate(HARD)] + [(0, HARD[0], 1)]
     got = pii.detect(spark.createDataFrame(rows, "doc_id long, text string, base int")).collect()
     assert len(got) == len(rows)

@@ -1,15 +1,15 @@
 """PII by weak-supervision aggregation, with DataFrame functions only.
 
-Base spans are what four patterns find (emails, IPv4 addresses, payment cards that pass Luhn, international phone
+Base spans are what four expressions find (emails, IPv4 addresses, payment cards that pass Luhn, international phone
 numbers), leftmost and non-overlapping for each kind; matches that fail their check are dropped.  They always stay.
 
 Further candidates (secrets, national phone numbers, identity numbers, spelled-out emails) are voted on by a regex, a
 gazetteer, a context and a shape labeler: 1 for, -1 against, 0 abstains.  Expectation-maximisation over the counts of vote
-patterns estimates how reliable each labeler is, without any labelled row, and gives each pattern a probability; on these
+expressions estimates how reliable each labeler is, without any labelled row, and gives each expression a probability; on these
 a logistic span classifier over votes and features is trained, which decides.  All counts cover the whole corpus; they are
-as many as there are patterns (``_PATTERNS`` at most), so models are fitted on the driver whatever the corpus' size.
+as many as there are expressions (``_KINDS_OF_VOTES`` at most), so models are fitted on the driver whatever the corpus' size.
 
-Spans are kind:start:end in code points, end exclusive.  The patterns use possessive loops, so that long runs of one kind
+Spans are kind:start:end in code points, end exclusive.  The expressions use possessive loops, so that long runs of one kind
 of character take linear time and no deep stack; they match what the plain ones in ``BASE`` match.
 
 Defined results: a null or empty text has no spans; every input row gives one row; a null doc_id stays null; other columns
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed patterns of the base spans.
+#: Fixed expressions of the base spans.
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -57,7 +57,7 @@ _STRONG = {
 }
 _GAZETTEER = r"^(?:AKIA|ASIA|ghp_|gho_|xoxb|xoxp|sk_live|sk_test|rk_live|AIza|eyJ)"
 _CONTEXT = r"(?i)(?:token|passw(?:or)?d|pwd|secret|api.?key|access.?key|credential|bearer|auth|phone|tel|call|mobile|fax|ssn|social|identity|passport|mail|contact)[^\n]{0,14}$"
-_PATTERNS = 3 ** len(LABELERS) * 4 * 4 * 3
+_KINDS_OF_VOTES = 3 ** len(LABELERS) * 4 * 4 * 3
 
 
 _BLOCK = 64  # elements that are gone through one by one
@@ -80,9 +80,9 @@ def _running(values: Column, pick: Callable[[Column, Column], Column]) -> Column
     return _let(values, lambda v: _let(_let(block(v), bases), lambda at: F.transform(v, lambda _, i: upto(v, i, F.get(at, F.floor(i / _BLOCK).cast("int"))))))
 
 
-def _found(text: Column, pattern: str, hint: str | None) -> Column:
-    """All matches of a pattern as an array of (start, hit, before), the last of what stands between the match before and this one."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+def _found(text: Column, expression: str, hint: str | None) -> Column:
+    """All matches of a expression as an array of (start, hit, before), the last of what stands between the match before and this one."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("hits"), F.split(text, expression, -1).alias("gaps"))
     gap = lambda p, i: F.get(p["gaps"], i)
     steps = lambda p: F.transform(p["hits"], lambda h, i: F.char_length(gap(p, i)) + F.char_length(h))
     one = lambda p, at, h, i: F.struct((F.get(at, i) + F.char_length(gap(p, i))).alias("start"), h.alias("hit"), F.right(gap(p, i), F.lit(24)).alias("before"))
@@ -166,7 +166,7 @@ class Reliability:
 
 
 def estimate(votes: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[Reliability, np.ndarray]:
-    """Expectation-maximisation over vote patterns (a row each); the probability of each pattern's being true.
+    """Expectation-maximisation over vote expressions (a row each); the probability of each expression's being true.
 
     It begins with the majority of the votes, and labelers are held to be no worse than chance.
     """
@@ -208,7 +208,7 @@ def train(docs: DataFrame) -> np.ndarray:
     text = F.coalesce("text", F.lit(""))
     found = docs.where(F.length("text") > 0).select(F.explode(_candidates(text, base_spans(text))).alias("c")).select("c.*")
     kinds = list(_CANDIDATES)
-    counts = found.groupBy("kind", *LABELERS, "size", "share").count().limit(_PATTERNS).collect()  # no more rows than patterns
+    counts = found.groupBy("kind", *LABELERS, "size", "share").count().limit(_KINDS_OF_VOTES).collect()  # no more rows than expressions
     if not counts:
         return np.zeros(1 + 2 * len(LABELERS) + len(kinds) + 7)
     counts.sort()

@@ -62,7 +62,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: Dated entries of the lists that op9 evaluates: (list_id, policy, kind, pattern, action, dated).
+#: Dated entries of the lists that op9 evaluates: (list_id, policy, kind, rule, action, dated).
 URL_ENTRIES = [
     ("spam", "block", "host", "www.spam-farm.example.org", "add", "2023-06-01"),
     ("spam", "block", "domain", "spam-farm.example.org", "add", "2024-02-10"),
@@ -80,7 +80,7 @@ URL_ENTRIES = [
     ("trusted", "allow", "host", "tionsh.example.net", "remove", "2024-08-01"),
     ("trusted", "allow", "prefix", "blog.tionble.example.com/en/", "add", "2024-01-01"),
 ]
-_ENTRY_FIELDS = ["list_id", "policy", "kind", "pattern", "action", "dated"]
+_ENTRY_FIELDS = ["list_id", "policy", "kind", "rule", "action", "dated"]
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +95,14 @@ OP9_SQL = f"""
 WITH c AS (SELECT DISTINCT page_id, url, CAST(DATE '2024-01-01' + CAST(((page_id % 366) + 366) % 366 AS INTEGER) AS TIMESTAMP) AS fetched_at FROM pages),
 h AS (SELECT *, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
              lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)) AS path FROM c),
-e(list_id, policy, kind, pattern, action, dated) AS (VALUES {", ".join(str(x) for x in URL_ENTRIES)}),
-i AS (SELECT *, lead(dated) OVER (PARTITION BY list_id, policy, kind, pattern ORDER BY dated, action = 'remove') AS valid_to FROM e),
+e(list_id, policy, kind, rule, action, dated) AS (VALUES {", ".join(str(x) for x in URL_ENTRIES)}),
+i AS (SELECT *, lead(dated) OVER (PARTITION BY list_id, policy, kind, rule ORDER BY dated, action = 'remove') AS valid_to FROM e),
 m AS (SELECT h.page_id, h.url, h.fetched_at, i.* FROM h LEFT JOIN i ON action = 'add' AND h.fetched_at >= CAST(dated AS TIMESTAMP) AND (valid_to IS NULL OR h.fetched_at < CAST(valid_to AS TIMESTAMP)) AND
-  CASE kind WHEN 'host' THEN host = pattern WHEN 'domain' THEN host = pattern OR ends_with(host, '.' || pattern)
-            ELSE host || path = pattern OR (ends_with(pattern, '/') AND starts_with(host || path, pattern)) END)
+  CASE kind WHEN 'host' THEN host = rule WHEN 'domain' THEN host = rule OR ends_with(host, '.' || rule)
+            ELSE host || path = rule OR (ends_with(rule, '/') AND starts_with(host || path, rule)) END)
 SELECT page_id, url, fetched_at, count(kind) AS n_active,
-  coalesce(max(length(pattern)) FILTER (policy = 'block'), 0) > coalesce(max(length(pattern)) FILTER (policy = 'allow'), 0) AS blocked,
-  coalesce(string_agg(concat_ws(':', policy, list_id, kind, pattern), ',' ORDER BY concat_ws(':', policy, list_id, kind, pattern)) FILTER (kind IS NOT NULL), '') AS matched
+  coalesce(max(length(rule)) FILTER (policy = 'block'), 0) > coalesce(max(length(rule)) FILTER (policy = 'allow'), 0) AS blocked,
+  coalesce(string_agg(concat_ws(':', policy, list_id, kind, rule), ',' ORDER BY concat_ws(':', policy, list_id, kind, rule)) FILTER (kind IS NOT NULL), '') AS matched
 FROM m GROUP BY page_id, url, fetched_at
 """
 
