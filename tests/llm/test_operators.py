@@ -223,3 +223,19 @@ def test_top_k_of_large_numbers_and_clashing_names(spark):
         best = sorted((-sum(a * b for a, b in zip(vectors[q], w, strict=True)), i) for i, w in vectors.items() if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(got) == want
+
+
+def test_a_megabyte_in_one_word(spark):
+    text = "".join(chr(0x4E00 + i * 7 % 3000) for i in range(330_000)) + "é" * 3
+    df = spark.createDataFrame([(1, text), (2, "x" * 200_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pieces.encode(df).collect()}
+    assert got[1]["round_trip"] and got[2]["round_trip"] and got[1]["n_pieces"] == len(got[1]["ids"]) > 0
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(spark.createDataFrame([(1, got[1]["ids"]), (3, None), (4, [])], "doc_id long, ids array<int>").withColumn("text", F.lit(7))).collect()} == {1: text, 3: "", 4: ""}
+
+
+def test_quality_learns_from_few_ratings(spark):
+    rows = [(i, f"alpha{i % 7} beta{i % 5} gamma " + ("awful nasty" if i % 2 else "kind gentle")) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = df.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    kept = {r["doc_id"] for r in quality.select(df, quality.train(df, labels)).collect()}
+    assert kept == {i for i in range(80) if i % 2 == 0}

@@ -68,3 +68,22 @@ def test_a_long_secret_is_one_span(spark):
 
 def test_empty_table(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_with_very_many_matches(spark):
+    numbers = " ; ".join(str(i) for i in range(100_000))
+    mails = " ".join(f"a{i}@b.cc" for i in range(5000))
+    df = spark.createDataFrame([(1, numbers), (2, mails)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.detect(df).collect()}
+    assert got[1]["n_card"] == 0 and got[2]["n_email"] == 5000
+    for i, text in ((1, numbers), (2, mails)):
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base(text)).encode()).hexdigest()
+    assert pii.redact(df).where("doc_id = 2").first()["text"] == " ".join(["[EMAIL]"] * 5000)
+
+
+def test_redaction_of_clashing_names_and_overlaps(spark):
+    text = "a 1.2.3.4 é😀 x@y.zz, +1 (208) 555-1177 or 4111111111111111 z"
+    df = spark.createDataFrame([(1, text, "m", "b", "o", "s"), (2, None, "m", "b", "o", "s")], "doc_id long, text string, more string, base string, ordered string, spans string")
+    got = {r["doc_id"]: r for r in pii.redact(df).collect()}
+    assert got[1]["text"] == "a [IP] é😀 [EMAIL], [PHONE] or [CARD] z" and got[2]["text"] is None
+    assert got[1][2:] == ("m", "b", "o", "s") and pii.detect(df).count() == 2
