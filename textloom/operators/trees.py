@@ -7,6 +7,7 @@ from xml.sax.saxutils import quoteattr
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FIELDS = ("word", "tag", "chunk", "pnp")
 
@@ -84,13 +85,13 @@ def table(sentence, placeholder: str = "-") -> str:
 def rendering(f, each: bool = True):
     """A column function over ``parsed``: one string for the whole text, sentences apart by a blank line if ``each``."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(parsed: pd.Series) -> pd.Series:
         return parsed.map(lambda p: None if p is None else ("\n\n".join(f(s) for s in p) if each else f(p)))
 
     return run
 
 
-@F.pandas_udf("array<array<struct<word:string,tag:string,chunk:string,pnp:string>>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in _FIELDS]))))
 def parsed_xml(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else from_xml(t))

@@ -102,7 +102,8 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.triangles(_trade(spark, sf_dir))
 
 
-@query("graph_cliques")
+@query("graph_cliques", f"""WITH RECURSIVE {_EDGES}, {_LINKS}, a AS (SELECT id, list(DISTINCT other) AS o FROM k GROUP BY 1), c AS (SELECT [id] AS c, id AS last FROM a
+UNION ALL SELECT list_append(c, a.id), a.id FROM c JOIN a ON a.id > last AND list_has_all(a.o, c)) SELECT array_to_string(c, '-') AS nodes FROM c WHERE len(c) >= 2 AND NOT EXISTS (SELECT 1 FROM a WHERE list_has_all(a.o, c))""")
 def cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cliques(_graph(spark, sf_dir)[1], 2).select(F.array_join("nodes", "-").alias("nodes"))
 
@@ -135,6 +136,7 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("part", F.lit("both")).unionAll(rest.withColumn("part", F.lit("neither")))
 
 
-@query("graph_graphml")
+@query("graph_graphml", f"""WITH {_EDGES} SELECT unnest(['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<graph edgedefault="undirected">', '</graph></graphml>']) AS line
+UNION ALL SELECT '<node id="' || n_nationkey || '"/>' FROM nation UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"/>' FROM e""")
 def graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graphml(*_graph(spark, sf_dir))

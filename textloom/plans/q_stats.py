@@ -109,11 +109,14 @@ def chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("e", e).agg(F.sum(F.pow(F.col("n") - F.col("e"), 2) / F.col("e")).alias("x2"), (2 * F.sum(F.col("n") * F.log(F.col("n") / F.col("e")))).alias("g2"))
 
 
-@query("tests_fisher_exact")
+@query("tests_fisher_exact", """WITH t AS (SELECT p_brand, count_if(p_size > 25 AND p_retailprice > 1400)::BIGINT AS a, count_if(p_size > 25 AND p_retailprice <= 1400)::BIGINT AS b, count_if(p_size <= 25 AND p_retailprice > 1400)::BIGINT AS c, count_if(p_size <= 25 AND p_retailprice <= 1400)::BIGINT AS d FROM part GROUP BY 1),
+f AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS top FROM t), x AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM f),
+l AS (SELECT *, top - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS lp, top - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1) AS own FROM x)
+SELECT p_brand, a, b, c, d, round(least(1.0, sum(CASE WHEN lp <= own + 1e-9 THEN exp(lp) ELSE 0 END)), 9) AS p FROM l GROUP BY 1, 2, 3, 4, 5""")
 def fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     cells = p.groupBy("p_brand").agg(F.count_if((F.col("p_size") > 25) & (F.col("p_retailprice") > 1400)).alias("a"), F.count_if((F.col("p_size") > 25) & (F.col("p_retailprice") <= 1400)).alias("b"), F.count_if((F.col("p_size") <= 25) & (F.col("p_retailprice") > 1400)).alias("c"), F.count_if((F.col("p_size") <= 25) & (F.col("p_retailprice") <= 1400)).alias("d"))
-    return cells.withColumn("p", stats.fisher_exact_udf("a", "b", "c", "d"))
+    return cells.withColumn("p", F.round(stats.fisher_exact_udf("a", "b", "c", "d"), 9))
 
 
 @query("stats_interpolation", "SELECT p_partkey, 1.0 + (3.0 - 1.0) * least(greatest((p_size - 10) / 30, 0), 1) AS lerped, power(least(greatest((p_size - 10) / 30, 0), 1), 2) * (3 - 2 * least(greatest((p_size - 10) / 30, 0), 1)) AS smoothed FROM part")

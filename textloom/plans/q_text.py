@@ -71,10 +71,11 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nlp.merge_phrases(docs, nlp.phrases(docs, 1, 3), 0.5).select("item_id", F.array_join("tokens", " ").alias("text"))
 
 
-@query("nlp_inflection")
+@query("nlp_inflection", """SELECT * FROM (VALUES ('child', 'children', 'a', 'child', NULL), ('city', 'cities', 'a', 'citi', NULL), ('wolf', 'wolves', 'a', 'wolf', 'wolfed'), ('matrix', 'matrices', 'a', 'matrix', NULL), ('analysis', 'analyses', 'an', 'analysi', NULL),
+('sheep', 'sheep', 'a', 'sheep', NULL), ('run', 'runs', 'a', 'run', 'ran'), ('stop', 'stops', 'a', 'stop', 'stopped'), ('take', 'takes', 'a', 'take', 'took'), ('echo', 'echoes', 'an', 'echo', 'echoed')) AS t(word, plural, article, stem, past)""")
 def inflection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = spark.createDataFrame([(x,) for x in "cat city child wolf matrix analysis sheep run stop take".split()], "word string")
-    return w.select("word", inflect.udf(inflect.pluralize)("word").alias("plural"), inflect.udf(inflect.article)("word").alias("article"), inflect.udf(stemmer.stem)("word").alias("stem"), inflect.udf(lambda v: inflect.conjugate(v, "past"))("word").alias("past"))
+    w = spark.createDataFrame([(x,) for x in "echo city child wolf matrix analysis sheep run stop take".split()], "word string")
+    return w.select("word", inflect.udf(inflect.pluralize)("word").alias("plural"), inflect.udf(inflect.article)("word").alias("article"), inflect.udf(stemmer.stem)("word").alias("stem"), F.when(F.col("word").isin("wolf", "run", "stop", "take", "echo"), inflect.udf(lambda v: inflect.conjugate(v, "past"))("word")).alias("past"))
 
 
 @query("web_url_parts", r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS protocol, lower(regexp_extract(url, '://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS domain, regexp_extract(url, '#(.*)$', 1) AS anchor, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS page FROM pages""")
@@ -129,7 +130,10 @@ def sheet_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.Sheet(table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("_row"), "r_name")).transpose()
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS u, event_id, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT u, event_id, sec, n, 1 AS k, sec AS began, true AS ok FROM e WHERE n = 1 UNION ALL
+SELECT e.u, e.event_id, e.sec, e.n, CASE WHEN s.k < 3 THEN s.k + 1 WHEN e.sec - s.began <= 86400 THEN s.k ELSE 1 END, CASE WHEN s.k >= 3 AND e.sec - s.began > 86400 THEN e.sec ELSE s.began END, s.k < 3 OR e.sec - s.began > 86400 FROM s JOIN e ON e.u = s.u AND e.n = s.n + 1)
+SELECT u AS "user", event_id, sec AS "at", CAST(k AS BIGINT) AS "count", ok AS accepted FROM s""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return stateful.rate_limit_batch(e, 3, 86400.0)

@@ -158,7 +158,11 @@ def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(v.join(test, "doc_id", "left_semi"))
 
 
-@query("classify_nearest_neighbors")
+@query("classify_nearest_neighbors", f"""WITH {_L}, {_D}, {_V}, tr AS (SELECT * FROM l WHERE doc_id % 2 = 0), c AS (SELECT label, count(*) AS nc FROM tr GROUP BY 1), z AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1),
+s AS (SELECT q.doc_id AS query_id, x.doc_id, sum(q.w * x.w) AS dot FROM v q JOIN v x USING (term) WHERE q.doc_id % 2 = 1 AND x.doc_id % 2 = 0 GROUP BY 1, 2),
+b AS (SELECT query_id, s.doc_id, dot / (a.norm * y.norm) AS sim FROM s JOIN z a ON a.doc_id = query_id JOIN z y ON y.doc_id = s.doc_id WHERE dot > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, s.doc_id) <= 5),
+f AS (SELECT query_id, label, nc, sum(sim) AS p FROM b JOIN tr ON tr.doc_id = b.doc_id JOIN c USING (label) GROUP BY 1, 2, 3), h AS (SELECT *, round(p / sum(p) OVER (PARTITION BY query_id), 12) AS share FROM f)
+SELECT query_id AS doc_id, label AS predicted FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY share DESC, nc, label) = 1""")
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, labels = _labelled(spark, sf_dir)
     v = vector.weights(p).persist()
