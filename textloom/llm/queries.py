@@ -22,6 +22,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_components(_table(spark, sf_dir, "documents"))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT DISTINCT a AS id, a AS c FROM e UNION SELECT b, c FROM r JOIN e ON a = id)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(c) AS m FROM r GROUP BY 1) ON id = w.doc_id
+"""
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents it selects; ``quality.score`` gives the grades of all."""
     docs = _table(spark, sf_dir, "documents")
@@ -32,6 +44,15 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+OP6_SQL = f"""
+WITH k AS (SELECT unnest(range(1, 6)) AS k), d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+s AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(w[j:j+k-1], ' ') FOR j IN range(1, len(w) - k + 2)]) AS s FROM d, k WHERE len(w) >= k),
+t AS (SELECT DISTINCT item_id, k, unnest([array_to_string(w[j:j+k-1], ' ') FOR j IN range(1, len(w) - k + 2)]) AS s FROM i, k WHERE len(w) = k OR (k = 5 AND len(w) > 5)),
+n AS (SELECT item_id, count(*) AS n FROM t GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS c FROM s JOIN t USING (k, s) GROUP BY 1, 2)
+SELECT doc_id, CAST(item_id AS BIGINT) AS item_id, c AS shared, n AS item_shingles, c / n AS containment FROM m JOIN n USING (item_id) WHERE 100 * c >= 75 * n
+"""
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
@@ -127,4 +148,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL, "op9_url_filters": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op5_chat_formatting": OP5_SQL, "op9_url_filters": OP9_SQL, "op10_exact_top_k": OP10_SQL}
