@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed order in which formats are tried.
 FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd/MM/yyyy", "dd MMMM yyyy", "dd MMM yyyy",
-    "MMMM dd yyyy", "MMMM dd, yyyy", "MMM dd yyyy", "MMM dd, yyyy", "EEE, dd MMM yyyy HH:mm:ss Z",
+    "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s'Z'", "yyyy-M-d H:m", "yyyy-M-d", "d/M/yyyy", "d MMMM yyyy", "d MMM yyyy",
+    "MMMM d yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMM d, yyyy", "EEE, d MMM yyyy H:m:s Z",
 )
 
 
