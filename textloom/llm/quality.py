@@ -115,7 +115,7 @@ def fit(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, df: np.ndarray, pen
     m, v = np.zeros(len(w) + k), np.zeros(len(w) + k)
     for step in range(1, steps + 1):
         theta = np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
-        score = np.bincount(owner, (w * scale)[x], len(grade))
+        score = np.bincount(owner, (w * scale).astype(np.float32)[x], len(grade))
         low = np.concatenate([[-np.inf], theta])[grade] - score
         high = np.concatenate([theta, [np.inf]])[grade] - score
         a, b = (1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (low, high))
@@ -123,7 +123,7 @@ def fit(x: np.ndarray, owner: np.ndarray, grade: np.ndarray, df: np.ndarray, pen
         p = np.maximum(b - a, 1e-9)
         da, db = -a * (1 - a) / p * weight, b * (1 - b) / p * weight  # of log p by the lower and the upper threshold
         theta_grad = np.array([db[grade == j].sum() + da[grade == j + 1].sum() for j in range(k)])
-        grad_w = -scale * np.bincount(x, -(da + db)[owner], len(w)) + penalty * w
+        grad_w = -scale * np.bincount(x, -(da + db).astype(np.float32)[owner], len(w)) + penalty * w
         suffix = np.cumsum(theta_grad[::-1])[::-1]
         grad_gap = -suffix * np.concatenate([[1], np.exp(gap[1:])])
         g = np.concatenate([grad_w, grad_gap])
@@ -178,18 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, least: floa
             at = np.concatenate([[0], np.cumsum(mask[x])])[np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("x")).to_numpy())])]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x[mask[x]]))], names=["grade", "x"])
 
-    got = rated.mapInArrow(telling, "grade int, x array<int>").toArrow().combine_chunks()
-    grades, lists = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in got.columns)
-    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-    grades, flat = grades.to_numpy(), lists.flatten().to_numpy()
-    # a fixed order of rows, so that sums don't depend on how tasks ended
-    sums = np.concatenate([[0], np.cumsum(mix(flat.astype(np.uint64)), dtype=np.uint64)])
-    begins = np.concatenate([[0], ends[:-1]])
-    order = np.lexsort((sums[ends] - sums[begins], ends - begins, grades))
-    size = (ends - begins)[order]
-    at = np.repeat(begins[order] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    owner = np.repeat(np.arange(len(order), dtype=np.int32), size)
-    model = fit(flat[at], owner, np.searchsorted(levels, grades[order]), np.where(keep, counts.sum(axis=0), 0))
+    # in a fixed order, so that sums don't depend on how tasks ended
+    got = rated.mapInArrow(telling, "grade int, x array<int>").orderBy("grade", F.xxhash64("x")).toArrow()
+    grades = np.concatenate([c.to_numpy() for c in got.column("grade").chunks])
+    flat = np.concatenate([c.flatten().to_numpy() for c in got.column("x").chunks])
+    size = np.concatenate([pc.list_value_length(c).to_numpy() for c in got.column("x").chunks])
+    del got
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    model = fit(flat, owner, np.searchsorted(levels, grades), np.where(keep, counts.sum(axis=0), 0))
     if len(levels) < 3 or levels[-1] < 2:  # a grade nobody gave: its threshold falls together with its neighbour's
         at = [model.thresholds[np.searchsorted(levels, g) - 1] if 0 < np.searchsorted(levels, g) < len(levels) else (-50.0 if np.searchsorted(levels, g) == 0 else 50.0) for g in (1, 2)]
         return Model(model.weights, np.array(at))
