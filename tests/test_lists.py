@@ -104,3 +104,16 @@ def test_commit_and_rollback(spark, tmp_path):
             t.delete(1)
             raise KeyError("no")
     assert t.count() == 2
+
+
+def test_tag_model(spark):
+    from textloom.operators.tagmodel import TagModel
+
+    say = lambda a, n, v: [(a, "DT"), (n, "NN"), (v, "VBZ")]
+    sentences = [say(a, n, v) for a in ("the", "a") for n in ("ship", "crew", "storm") for v in ("waits", "sails", "turns")]
+    df = spark.createDataFrame([(s,) for s in sentences], "words array<struct<word:string,tag:string>>")
+    model = TagModel().train(df)
+    assert model.tag(["the", "boat", "drifts"]) == [("the", "DT"), ("boat", "NN"), ("drifts", "VBZ")]
+    got = spark.createDataFrame([(["a", "ship", "sails"],), ([],), (None,)], "w array<string>").select(model.udf()("w").alias("t")).collect()
+    assert [x["tag"] for x in got[0]["t"]] == ["DT", "NN", "VBZ"] and got[1]["t"] == [] and got[2]["t"] is None
+    assert TagModel().train(df.limit(0)).tag(["x"]) == [("x", "")]

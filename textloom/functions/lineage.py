@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the folder that the session names; on a local master without one, in a folder of our own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; on a local master without one, a folder of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="textloom-"))
+        at = tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """An eager checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

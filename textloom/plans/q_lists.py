@@ -10,6 +10,7 @@ from textloom.operators import graph, models, query as db, semantics, vector
 from textloom.plans.catalog import query, table
 from textloom.plans.q_vector import _L, _T, _labelled, _tokens
 from textloom.sources import files
+from textloom.sources import pages as sources
 from textloom.streaming import stateful
 
 
@@ -253,3 +254,44 @@ def transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     except ValueError:
         pass
     return t.df.select("id", "name")
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the session's shared folder."""
+    import uuid
+
+    from textloom.functions.lineage import shared_dir
+
+    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("web_page_cache", "SELECT url, CASE WHEN max(page_id) % 4 = 3 THEN NULL ELSE length(max_by(html, page_id)) END AS n FROM pages GROUP BY 1")
+def page_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    last = p.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    at = F.when(F.col("page_id") % 4 == 3, F.lit("2020-01-01")).otherwise("2024-01-01").cast("timestamp")
+    rows = p.join(last, ["url", "page_id"]).select("url", F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("type"), F.lit(None).cast("string").alias("location"), "html", at.alias("fetched_at"))
+    cache = sources.PageCache(spark, _shared(spark, "cache"))
+    cache.put(rows)
+    return cache.get(p, F.lit("2023-01-01").cast("timestamp")).select("url", F.char_length("html").alias("n"))
+
+
+@query("web_probes", "SELECT event_id, event_id % 5 < 2 AS found, CASE WHEN event_id % 2 = 0 THEN 'text/html' END AS type, CASE WHEN event_id % 3 = 0 THEN 'b' END AS leads FROM events")
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.when(k % 5 < 2, 301).when(k % 5 == 2, 404).alias("status"), F.when(k % 2 == 0, "Text/HTML; charset=x").otherwise("").alias("header"), F.lit("a").alias("url"), F.when(k % 3 == 0, "b").when(k % 3 == 1, "a").alias("location"))
+    return e.select("event_id", sources.exists(F.col("status")).alias("found"), sources.mime_type(F.col("header")).alias("type"), sources.redirect(F.col("url"), F.col("location")).alias("leads"))
+
+
+@query("web_sections", r"SELECT page_id, CAST(1 AS INTEGER) AS level, trim(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages WHERE html LIKE '%<h1>%'")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.explode(sources.sections("html")).alias("s")).select("page_id", "s.level", "s.title")
+    return p.where("level > 0")
+
+
+@query("nlp_wordlist", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest({_T}) AS w FROM documents) WHERE w IN ('the', 'und', 'trash', 'idiot') GROUP BY 1")
+def wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _shared(spark, "words")
+    spark.createDataFrame([("# some words",), ("the, UND",), ("trash",), ("idiot",)], "value string").coalesce(1).write.text(path)
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(_tokens()).alias("word"))
+    return sources.members(words, sources.wordlist(spark, path)).groupBy("doc_id").agg(F.count("*").alias("n"))
