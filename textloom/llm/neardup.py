@@ -77,7 +77,7 @@ def _prefix(n: np.ndarray, threshold: int) -> np.ndarray:
 
 def _index(width: int, threshold: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(np.frombuffer(common.value, np.uint8))
+        bitmap = np.unpackbits(np.frombuffer(common.value, np.uint8), bitorder="little")
         for part in slices(batches, "text"):
             values, owner = distinct(*shingles_of(words_of(part.column("text")), width))
             order = (values >> np.uint64(2)) | (bitmap[values >> np.uint64(64 - _BITS)].astype(np.uint64) << np.uint64(62))
@@ -155,10 +155,11 @@ def _common(texts: DataFrame, width: int):
     """A bitmap of the shingles that are common in an eighth of the texts, sent to all executors."""
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).mapInArrow(_sampled(width), "value long")
     often = some.groupBy("value").count().where(F.col("count") >= _COMMON)
-    slots = often.select(F.expr(f"shiftrightunsigned(value, {64 - _BITS})").alias("slot")).distinct().select((F.col("slot") / 8).cast("long").alias("byte"), F.expr("shiftright(128, cast(slot % 8 as int))").alias("bit"))
-    bitmap = np.zeros(1 << (_BITS - 3), np.uint8)  # at most 2**(_BITS - 3) bytes can be set, so many rows come at most
-    for chunk in slots.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
-        bitmap[chunk.column(0).to_numpy()] = chunk.column(1).to_numpy().astype(np.uint8)
+    slot = F.expr(f"shiftrightunsigned(value, {64 - _BITS})")
+    words = often.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(value, {64 - _BITS}) & 63 as int))")).alias("bits"))
+    bitmap = np.zeros(1 << (_BITS - 6), np.uint64)  # so many rows come at most
+    for chunk in words.toArrow().to_batches():
+        bitmap[chunk.column(0).to_numpy()] = chunk.column(1).to_numpy().view(np.uint64)
     return texts.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
 
