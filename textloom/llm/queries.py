@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, mixing, neardup, pages, pieces, pii, quality, topk, urls
+from textloom.llm import chat, counts, decontaminate, mixing, neardup, pages, pieces, pii, quality, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,6 +143,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = counts.prefix_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), prefixes=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
