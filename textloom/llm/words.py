@@ -73,15 +73,18 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words_of(texts: pa.Array) -> Words:
-    """Split and hash the words of every text. A null counts as empty."""
+def words_of(texts: pa.Array, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
+    """Split and hash the words of every text, A-Z lower-cased if asked for. A null counts as empty.
+
+    ``space`` says for each of the 256 bytes whether it is between words.
+    """
     raw, at = _bytes(texts)
-    data = _LOWER[raw]
+    data = _LOWER[raw] if lower else raw
     n = len(data)
     if not n:
         empty = np.empty(0, np.int64)
         return Words(data, empty, empty, np.zeros(len(at), np.int64), np.empty(0, np.uint64))
-    word = ~_SPACE[data]
+    word = ~space[data]
     border = np.zeros(n + 1, bool)
     border[at] = True
     before = np.empty(n, bool)
