@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, counts, decontaminate, mixing, neardup, pages, pieces, pii, quality, runs, topk, urls
+from textloom.llm import chat, counts, decontaminate, mixing, neardup, pages, phrases, pieces, pii, quality, runs, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,6 +164,25 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, unnest([w[i:i+k-1] FOR i IN range(1, len(w) - k + 2)]) AS g FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100), c AS (SELECT * FROM f WHERE k > 1),
+inside AS (SELECT DISTINCT lang, g[i:i+m-1] AS g, f FROM c, (SELECT unnest(range(2, 5)) AS m), (SELECT unnest(range(1, 5)) AS i) WHERE m < k AND i + m - 1 <= k),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inside x WHERE x.lang = c.lang AND x.g = c.g AND x.f >= c.f)),
+cuts AS (SELECT kept.lang, kept.g, kept.f AS a, j, kept.g[1:j] AS one, kept.g[j+1:k] AS two FROM kept, (SELECT unnest(range(1, 5)) AS j) WHERE j < k),
+s AS (SELECT cuts.lang, cuts.g, a, j, x.f AS l, y.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+      FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = one JOIN f y ON y.lang = cuts.lang AND y.g = two JOIN t ON t.lang = cuts.lang),
+b AS (SELECT *, array_to_string(g, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
+"""
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = counts.prefix_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), prefixes=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -174,4 +193,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op5_chat_formatting": OP5_SQL, "op9_url_filters": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op5_chat_formatting": OP5_SQL, "op9_url_filters": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op12_phrase_collocations": OP12_SQL}
