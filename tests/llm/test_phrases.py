@@ -76,3 +76,16 @@ def test_query_equals_its_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.execute(queries.OP12_SQL).fetchall()
     assert want and sorted(want) == sorted(map(tuple, queries.op12_phrase_collocations(spark, sf).collect()))
+
+
+def test_arrays_of_several_chunks(spark):
+    def rows(batches):
+        for _ in batches:
+            counts = phrases.Sparse(200_000, 1 << 62)
+            counts.n[[0, 65_535, 65_536, 199_999]] = [1, 2, 3, 1 << 40]
+            yield from counts.rows()
+
+    total = np.zeros(200_000, np.int64)
+    for r in phrases._summed(spark.range(5, numPartitions=3).mapInArrow(rows, phrases.SUMS), 1 << 62).collect():
+        total[phrases._indices(r.chunk, r["at"])] = np.frombuffer(r.n, np.uint64).astype(np.int64)
+    assert total[[0, 65_535, 65_536, 199_999]].tolist() == [3, 6, 9, 3 << 40] and np.count_nonzero(total) == 4

@@ -88,44 +88,49 @@ def _row(chunk: int, salt: int, part: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([salt], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["chunk", "salt", "at", "n"])
 
 
-def _summed(rows: DataFrame, top: int) -> DataFrame:
-    """Rows of ``SUMS``, one a chunk: sums of a part of the tasks, then of those. Only one chunk is in memory."""
+def _indices(chunk: int, at: bytes) -> np.ndarray:
+    """Indices of a whole array, of those in a chunk."""
+    return np.frombuffer(at, np.uint16).astype(np.int64) + (chunk << _CHUNK)
+
+
+def _summed(rows: DataFrame, top: int, least: int = 0) -> DataFrame:
+    """Rows of ``SUMS``, one a chunk: sums of a part of the tasks, then of those. Only one chunk is in memory.
+
+    With ``least``, ``n`` is a bit for each index of the chunk instead: whether its sum is so high.
+    """
     kind = np.min_scalar_type(top)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(1 << _CHUNK, np.int64)
-        for b in batches:
-            for c, s, at, n in zip(*(b.column(x).to_pylist() for x in ("chunk", "salt", "at", "n")), strict=True):
-                if now is not None and (c, s) != now:
-                    yield _row(*now, total.astype(kind))
-                    total[:] = 0
-                now, i = (c, s), np.frombuffer(at, np.uint16)
-                total[i] = np.minimum(total[i] + np.frombuffer(n, kind).astype(np.int64), top)
-        if now is not None:
-            yield _row(*now, total.astype(kind))
+    def bits(chunk: int, total: np.ndarray) -> pa.RecordBatch:
+        packed = np.packbits(total >= least, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([packed], pa.binary())], names=["chunk", "salt", "at", "n"])
 
-    first = rows.repartition("chunk", "salt").sortWithinPartitions("chunk", "salt").mapInArrow(fold, SUMS)
-    return first.withColumn("salt", F.lit(0)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(fold, SUMS)
+    def fold(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total = None, np.zeros(1 << _CHUNK, np.int64)
+            done = lambda: bits(now[0], total) if last and least else _row(*now, total.astype(kind))
+            for b in batches:
+                for i in range(b.num_rows):
+                    c, s, at, n = (b.column(x)[i].as_py() for x in ("chunk", "salt", "at", "n"))
+                    if now is not None and (c, s) != now:
+                        yield done()
+                        total[:] = 0
+                    now, at = (c, s), np.frombuffer(at, np.uint16)
+                    total[at] = np.minimum(total[at] + np.frombuffer(n, kind).astype(np.int64), top)
+            if now is not None:
+                yield done()
 
+        return run
 
-def _bitmap(rows: DataFrame, size: int, least: int) -> np.ndarray:
-    """A bit for each bucket: whether it has ``least`` occurrences. The driver gets bits only, size / 8 bytes in all."""
-    kind = np.min_scalar_type(least)
+    first = rows.repartition("chunk", "salt").sortWithinPartitions("chunk", "salt").mapInArrow(fold(False), SUMS)
+    return first.withColumn("salt", F.lit(0)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(fold(True), SUMS)
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for at, n in zip(b.column("at").to_pylist(), b.column("n").to_pylist(), strict=True):
-                full = np.zeros(1 << _CHUNK, bool)
-                full[np.frombuffer(at, np.uint16)[np.frombuffer(n, kind) >= least]] = True
-                out.append(np.packbits(full, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(out, pa.binary())], names=["chunk", "bits"])
 
+def _bitmap(rows: DataFrame, size: int, least: int) -> np.ndarray:
+    """A bit for each bucket: whether it has ``least`` occurrences. The driver gets bits only, size / 8 bytes in all."""
     found = np.zeros(size // 8, np.uint8)
-    got = _summed(rows, least).mapInArrow(bits, "chunk long, bits binary").toArrow()
-    for chunk, raw in zip(got.column("chunk").to_pylist(), got.column("bits").to_pylist(), strict=True):
-        begin = chunk << (_CHUNK - 3)
-        found[begin : begin + (1 << (_CHUNK - 3))] = np.frombuffer(raw, np.uint8)
+    for r in _summed(rows, least, least).select("chunk", "n").collect():
+        begin = r.chunk << (_CHUNK - 3)
+        found[begin : begin + (1 << (_CHUNK - 3))] = np.frombuffer(r.n, np.uint8)
     return found
 
 
@@ -240,15 +245,23 @@ def _safe(x: np.ndarray, bitmaps: list[np.ndarray], size: int) -> Iterator[tuple
         yield k, at[good], keys[good]
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch, np.ndarray]]:
+    """Keys of many texts at once, which begin with a break each; their rows, and the numbers of keys of these."""
     for b in batches:
-        for raw in b.column("keys"):
-            yield np.frombuffer(raw.as_py(), np.uint64)
+        for part in slices(iter([b]), "keys"):
+            raw = part.column("keys")
+            at = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4)
+            if at[-1] > at[0]:
+                yield np.frombuffer(raw.buffers()[2], np.uint64, (at[-1] - at[0]) // 8, at[0]), part, np.diff(at) // 8
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    return (x for x, *_ in _texts(batches))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]):
     """For each slice: keys of its words, its words, the languages, and the language of each text."""
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", 1 << 20):
         w = words_of(part.column("text"), space=_BETWEEN)
         langs = part.column("lang").dictionary_encode()
         names, of = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
@@ -274,39 +287,45 @@ def _fresh(new: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return seen[at] != new
 
 
-_COMPACT = "keys binary, totals array<struct<lang: string, n: long>>, fresh array<struct<key: long, lang: string, word: string>>"
+_COMPACT = "lang string, keys binary, totals array<struct<lang: string, n: long>>, fresh array<struct<key: long, word: string>>"
 
 
 def _compact(docs: DataFrame, sent: Broadcast, size: int) -> DataFrame:
-    """Keys of the words that passed, in order, 0 for a break; numbers of words by language; words that are new to the task."""
+    """For each text the keys of the words that passed, in order, 0 for a break.
+
+    The first text of a slice also has the numbers of words by language, and the words that are new to the task.
+    """
     total_type = pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))
-    fresh_type = pa.list_(pa.struct([("key", pa.int64()), ("lang", pa.string()), ("word", pa.string())]))
+    fresh_type = pa.list_(pa.struct([("key", pa.int64()), ("word", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, np.uint64)
         for keys, w, names, of in _keyed(batches):
             n_words = np.bincount(of, np.diff(w.first), len(names)).astype(np.int64)
             totals = [{"lang": a, "n": b} for a, b in zip(names, n_words.tolist(), strict=True)]
-            fresh, raw = [], b""
+            fresh, data, sizes = [], b"", np.zeros(len(of), np.int64)
             if len(keys):
                 good = _passes(sent.value, keys, size)
                 breaks = np.concatenate([[0], np.cumsum(_BREAK[w.data])])[w.starts]
                 border = np.ones(len(keys), bool)
                 border[1:] = (breaks[1:] != breaks[:-1]) | ~good[:-1]
                 border[w.first[:-1][np.diff(w.first) > 0]] = True
-                # a 0 stands before a word that begins a piece or follows one which didn't pass
+                # a 0 stands before a word that begins a text or a piece, or follows one which didn't pass
                 kept = np.flatnonzero(good)
-                out = np.zeros(len(kept) * 2, np.uint64)
-                place = np.arange(len(kept)) + np.cumsum(border[kept])
-                out[place] = keys[kept]
-                raw = out[: int(place[-1]) + 1 if len(place) else 0].tobytes()
+                out = np.zeros(len(kept) + int(border[kept].sum()), np.uint64)
+                out[np.arange(len(kept)) + np.cumsum(border[kept])] = keys[kept]
+                text = np.searchsorted(w.first, kept, "right") - 1
+                sizes = np.bincount(text, 1 + border[kept], len(of)).astype(np.int64)
+                data = out.tobytes()
                 new, at = np.unique(keys[kept], return_index=True)
                 first = _fresh(new, seen)
                 seen = np.union1d(seen, new[first])
-                which = kept[at[first]]
-                owner = of[np.searchsorted(w.first, which, "right") - 1]
-                fresh = [{"key": k, "lang": names[o], "word": w.word(i).decode()} for k, o, i in zip(new[first].view(np.int64).tolist(), owner.tolist(), which.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([totals], total_type), pa.array([fresh], fresh_type)], names=["keys", "totals", "fresh"])
+                fresh = [{"key": k, "word": w.word(i).decode()} for k, i in zip(new[first].view(np.int64).tolist(), kept[at[first]].tolist(), strict=True)]
+            offsets = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            rest = [[]] * (len(of) - 1)
+            lang = pa.array(names, pa.string()).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([lang, raw, pa.array([totals, *rest], total_type), pa.array([fresh, *rest], fresh_type)], names=["lang", "keys", "totals", "fresh"])
 
     return docs.mapInArrow(run, _COMPACT)
 
@@ -323,23 +342,80 @@ def _phrase_buckets(compact: DataFrame, sent: Broadcast, size: int, k: int, leas
     return compact.select("keys").mapInArrow(run, SUMS)
 
 
+_PARTS = 64
+_FOUND = "lang string, k int, part int, words binary"
+_CANDIDATES = "key long, lang string, words array<long>"
+
+
+def _keys(words: np.ndarray) -> np.ndarray:
+    """Keys of phrases given as rows of word keys."""
+    out = words[:, 0]
+    for k in range(1, words.shape[1]):
+        out = _longer(out, words[:, k])
+    return out
+
+
 def _candidates(compact: DataFrame, sent: Broadcast, size: int) -> DataFrame:
-    """(key, words): each distinct word and phrase that passed, as keys."""
+    """(key, lang, words): each distinct word and phrase that passed, as keys.
+
+    A task sends each of its own once, those of a language and length in ``_PARTS`` arrays by a hash; arrays are merged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.empty(0, np.uint64)] * (LONGEST + 1)
-        for x in _arrays(batches):
+        seen: dict[tuple[str, int], np.ndarray] = {}  # sorted keys, of which the words follow
+        words: dict[tuple[str, int], list[np.ndarray]] = {}
+        for x, part, sizes in _texts(batches):
+            end, langs = np.cumsum(sizes), part.column("lang").dictionary_encode()
+            names, of = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
             for k, at, keys in _safe(x, sent.value, size):
                 new, i = np.unique(keys, return_index=True)
-                first = _fresh(new, seen[k])
-                new, at = new[first], at[i[first]]
-                seen[k] = np.union1d(seen[k], new)
-                words = x[at[:, None] + np.arange(k)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * k), pa.array(words.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), lists], names=["key", "words"])
+                at = at[i]
+                owner = of[np.searchsorted(end, at, "right")]
+                for o in np.unique(owner).tolist():
+                    mine, place = new[owner == o], at[owner == o]
+                    before = seen.get((names[o], k), np.empty(0, np.uint64))
+                    first = _fresh(mine, before)
+                    seen[names[o], k] = np.union1d(before, mine[first])
+                    words.setdefault((names[o], k), []).append(x[place[first][:, None] + np.arange(k)])
+        for (lang, k), found in words.items():
+            every = np.concatenate(found)
+            every = every[np.lexsort(every.T[::-1])]  # common beginnings side by side compress well
+            part = (_keys(every) >> np.uint64(8)) % np.uint64(_PARTS)
+            for i in range(_PARTS):
+                if (part == i).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([every[part == i].tobytes()], pa.binary())], names=["lang", "k", "part", "words"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n = None, [], 0
+
+        def distinct() -> np.ndarray:
+            every = np.concatenate(held)
+            return every[np.unique(_keys(every), return_index=True)[1]]
+
+        def done() -> Iterator[pa.RecordBatch]:
+            every, k = distinct(), now[1]
+            for i in range(0, len(every), 50_000):
+                rows = every[i : i + 50_000]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * k), pa.array(rows.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(rows).view(np.int64)), pa.array([now[0]] * len(rows), pa.string()), lists], names=["key", "lang", "words"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                group = tuple(b.column(x)[i].as_py() for x in ("lang", "k", "part"))
+                if now is not None and group != now:
+                    yield from done()
+                    held, n = [], 0
+                now = group
+                held.append(np.frombuffer(b.column("words")[i].as_py(), np.uint64).reshape(-1, group[1]))
+                n += len(held[-1])
+                if len(held) > 1 and n > 200_000:
+                    held = [distinct()]
+                    n = 0  # what is distinct stays; so much more may come
+        if now is not None:
+            yield from done()
 
-    found = compact.select("keys").mapInArrow(run, "key long, words array<long>")
-    return found.groupBy("key").agg(F.first("words").alias("words"))
+    found = compact.select("lang", "keys").mapInArrow(run, _FOUND)
+    return found.repartition("lang", "k", "part").sortWithinPartitions("lang", "k", "part").mapInArrow(merge, _CANDIDATES)
 
 
 def _built(candidates: DataFrame, blocks: int) -> DataFrame:
@@ -388,7 +464,7 @@ def _part_keys(words: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return firsts, rests
 
 
-_READ = "key long, words array<long>, a long, l array<long>, r array<long>, first long, rest long"
+_READ = "key long, lang string, words array<long>, a long, l array<long>, r array<long>, first long, rest long"
 
 
 def _read(rows: DataFrame, ready: Broadcast, least: int, begin: bool) -> DataFrame:
@@ -413,29 +489,49 @@ def _read(rows: DataFrame, ready: Broadcast, least: int, begin: bool) -> DataFra
                 counts = [np.stack([ready.value.count_of(s[k], old[:, k]) for k in range(length - 1)], 1) for s, old in zip(sides, before, strict=True)]
                 at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (length - 1))
                 lists = [pa.ListArray.from_arrays(at, pa.array(c.ravel())) for c in counts]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("words"), pa.array(a), *lists, pa.array(sides[0][-1].view(np.int64)), pa.array(sides[1][0].view(np.int64))], names=["key", "words", "a", "l", "r", "first", "rest"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), part.column("words"), pa.array(a), *lists, pa.array(sides[0][-1].view(np.int64)), pa.array(sides[1][0].view(np.int64))], names=["key", "lang", "words", "a", "l", "r", "first", "rest"])
 
     return rows.mapInArrow(run, _READ)
 
 
 @dataclass
 class Phrases:
-    """Frequent phrases (``_READ``, l and r by cut), words (key, lang, word) and word occurrences by language (lang, n)."""
+    """Frequent phrases (``_READ``, l and r by cut), words that a task met first, by key, and word occurrences by language."""
 
     frequent: DataFrame
-    words: DataFrame
+    fresh: DataFrame
     totals: DataFrame
 
+    def words(self, keys: DataFrame, most: int = 1 << 20) -> DataFrame:
+        """(key, word) of some distinct keys (key); 8 bytes of each of ``most`` of them are broadcast at once."""
+        out, n = [], -(-keys.count() // most)
+        for i in range(max(1, n)):
+            some = keys if n < 2 else keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i)
+            sent = keys.sparkSession.sparkContext.broadcast(np.sort(some.toArrow().column("key").to_numpy()))
+            out.append(self.fresh.mapInArrow(_named(sent), "key long, word string"))
+        return reduce(DataFrame.unionAll, out).groupBy("key").agg(F.first("word").alias("word"))
+
+
+def _named(sent: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column("fresh").flatten()
+            keys, word = every.field("key"), every.field("word")
+            asked = np.isin(keys.to_numpy(zero_copy_only=False), sent.value)
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(asked)), word.filter(pa.array(asked))], names=["key", "word"])
+
+    return run
+
 
 def count_phrases(docs: DataFrame, least: int = 100, bound: int = 64_000_000, block_keys: int = 1 << 20) -> Phrases:
     """Phrases of 2 to 5 words with at least ``least`` occurrences, of docs (text, lang)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    size = 1 << min(26, max(18, (n_bytes // 16).bit_length()))
+    size = 1 << min(26, max(18, (n_bytes // 64).bit_length()))
     share = spark.sparkContext.broadcast
     sent = share(_bitmap(_word_buckets(docs, size, least), size, least))
-    compact = store.written(_compact(docs, sent, size), "phrase-keys")
+    compact = store.written(_compact(docs, sent, size), "phrase-keys", **{"parquet.block.size": str(8 << 20)})  # else each writer holds 128 MB
     bitmaps: list[np.ndarray] = []
     for k in range(2, LONGEST + 1):
         sent.destroy()
@@ -460,8 +556,7 @@ def count_phrases(docs: DataFrame, least: int = 100, bound: int = 64_000_000, bl
         counts = {b: np.zeros(len(h.stored), np.int64) for b, h in hashes.items()}
         if sums is not None and group:
             for r in sums.where(F.shiftright("chunk", 20).isin(group)).toLocalIterator():
-                at = ((r.chunk & ((1 << 20) - 1)) << _CHUNK) + np.frombuffer(r["at"], np.uint16)
-                counts[r.chunk >> 20][at] = np.frombuffer(r.n, np.uint64).astype(np.int64)
+                counts[r.chunk >> 20][_indices(r.chunk & ((1 << 20) - 1), r["at"])] = np.frombuffer(r.n, np.uint64).astype(np.int64)
         return share(Blocks(blocks, hashes, counts))
 
     rows, sums = candidates, []
@@ -474,12 +569,11 @@ def count_phrases(docs: DataFrame, least: int = 100, bound: int = 64_000_000, bl
         now = ready(group, sums[i])
         rows = store.written(_read(rows, now, least, not i), "phrase-counts")
         now.destroy()
-    words = compact.select(F.explode("fresh").alias("x")).select("x.*").groupBy("key").agg(F.first("lang").alias("lang"), F.first("word").alias("word"))
     totals = compact.select(F.explode("totals").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n"))
-    return Phrases(rows, words, totals)
+    return Phrases(rows, compact.select("fresh").where(F.size("fresh") > 0), totals)
 
 
-_SCORED = "lang string, phrase string, key long, a long, n long, l long, r long, score long"
+_SCORED = "key long, lang string, words array<long>, a long, n long, l long, r long, score long"
 
 
 def _scored(rows: DataFrame) -> DataFrame:
@@ -493,7 +587,7 @@ def _scored(rows: DataFrame) -> DataFrame:
                 k = scores.index(min(scores))
                 best.append((left[k], right[k], scores[k]))
             found = np.array(best, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("lang", "phrase", "key", "a", "n")), *(pa.array(found[:, i]) for i in range(3))], names=["lang", "phrase", "key", "a", "n", "l", "r", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("key", "lang", "words", "a", "n")), *(pa.array(found[:, i]) for i in range(3))], names=["key", "lang", "words", "a", "n", "l", "r", "score"])
 
     return rows.mapInArrow(run, _SCORED)
 
@@ -508,12 +602,14 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, bound: int
     # a longer phrase as frequent as one inside it has a part of one word less as frequent, too
     inside = [rows.where((F.size("words") > 2) & (F.col("a") == n)).select(F.col(key).alias("key")) for key, n in (("first", F.element_at("l", -1)), ("rest", F.element_at("r", 1)))]
     kept = rows.join(reduce(DataFrame.unionAll, inside).distinct(), "key", "left_anti")
-    word = found.words.select(F.col("key").alias("word_key"), "lang", "word")
-    spelled = kept.select("key", F.posexplode("words").alias("i", "word_key")).join(word, "word_key").groupBy("key").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    scored = _scored(kept.select("key", "a", "l", "r").join(spelled, "key").join(found.totals, "lang"))
-    order = [F.desc("score"), F.desc("a"), "phrase"]
-    # the best of parts of a language, then of those: no task has all phrases of one
-    part = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
-    some = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
+    scored = _scored(kept.select("key", "lang", "words", "a", "l", "r").join(found.totals, "lang"))
+    order = [F.desc("score"), F.desc("a")]
+    # the best of parts of a language, then of those: no task has all phrases of one; equals at the end all stay until they have names
+    part = scored.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64)))
+    some = part.withColumn("rank", F.rank().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
+    some = some.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
+    some = store.written(some.drop("rank", "part"), "phrase-best")
+    word = found.words(some.select(F.explode("words").alias("key")).distinct()).withColumnRenamed("key", "word_key")
+    spelled = some.select("key", F.posexplode("words").alias("i", "word_key")).join(word, "word_key").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    ranked = some.join(spelled, "key").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))).where(F.col("rank") <= most)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back; runs the plan once."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; runs the plan once. options: the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     _WRITTEN.setdefault(_owner, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
