@@ -67,6 +67,11 @@ def test_strings(spark):
     assert one(spark, strings.urls(F.lit("see http://a.b/c, or www.d.e. and http://a.b/c"))) == ["http://a.b/c", "www.d.e"]
     assert one(spark, strings.encode_entities(F.lit('<a> & "b" &#38;'))) == "&lt;a&gt; &amp; &quot;b&quot; &#38;"
     assert one(spark, strings.base62(F.lit(3844))) == "100"
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for n in (0, 61, 2**53 + 1, 2**60 + 12345, 2**63 - 1):
+        text = one(spark, strings.base62(F.lit(n)))
+        assert sum(digits.index(c) * 62**i for i, c in enumerate(reversed(text))) == n and (n == 0 or text[0] != "0")
+    assert one(spark, strings.readability(F.lit("One cat. Two cats! Three cats? Yes it is so."))) >= one(spark, strings.readability(F.lit("One cat, two cats, three cats, yes it is so.")))
     assert one(spark, strings.decrypt(strings.encrypt(F.lit("héllo"), "k"), "k")) == "héllo"
     assert one(spark, strings.repair(F.lit("Ã©tÃ©"))) == "été"
 

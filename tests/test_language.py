@@ -56,6 +56,8 @@ def test_inflection():
     for single, many in {"cat": "cats", "city": "cities", "child": "children", "wolf": "wolves", "matrix": "matrices", "sheep": "sheep", "box": "boxes", "knife": "knives", "mother-in-law": "mothers-in-law"}.items():
         assert inflect.pluralize(single) == many
         assert inflect.singularize(many) == single
+    assert [inflect.article(w) for w in ("onerous", "ones", "European", "umbrella", "unimportant", "UFO", "NATO", "x", "u", "heirloom", "history", "utopian", "ulterior", "one-off", "ubiquitous", "")] == ["an", "a", "a", "an", "an", "a", "an", "an", "a", "an", "a", "a", "an", "a", "a", "a"]
+    assert [inflect.approximate("cat", n) for n in (0, 1, 2, 7, 17, 22, 199, 1999, 10**6 - 1, 10**6)] == ["no cats", "a cat", "a pair of cats", "several cats", "a number of cats", "around twenty cats", "dozens of cats", "hundreds of cats", "thousands of cats", "millions of cats"]
     assert [inflect.article(w) for w in ("hour", "university", "owl", "FBI", "bear", "one-liner")] == ["an", "a", "an", "an", "a", "a"]
     assert [inflect.comparative(w) for w in ("nice", "big", "happy", "expensive", "good")] == ["nicer", "bigger", "happier", "more expensive", "better"]
     assert inflect.lexeme("stop") == ["stop", "stops", "stopping", "stopped", "stopped"]

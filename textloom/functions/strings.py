@@ -92,13 +92,16 @@ def type_token_ratio(c: str | Column, n: int = 100) -> Column:
 
 
 def readability(c: str | Column) -> Column:
-    """0 (hard) to 1 (easy): 0.01 (1.599 * 100 * one-syllable words / words - 1.015 words / sentences - 31.517), clamped."""
+    """0 (hard) to 1 (easy): 0.01 (1.599 * 100 * one-syllable words / words - 1.015 words / sentences - 31.517), clamped.
+
+    Sentences end with a full stop, an exclamation or a question mark.
+    """
     c = _column(c)
     words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
     plain = F.transform(words, lambda w: F.lower(strip(w)))
     vowels = lambda w: F.regexp_count(F.regexp_replace(w, "e$", ""), F.lit("[aeiouy]+"))
     single = F.size(F.filter(plain, lambda w: vowels(w) <= 1))
-    sentences = F.greatest(F.size(F.filter(F.split(c, r"\."), lambda s: F.char_length(F.trim(s)) > 2)), F.lit(1))
+    sentences = F.greatest(F.size(F.filter(F.split(c, r"[.!?]"), lambda s: F.char_length(F.trim(s)) > 2)), F.lit(1))
     n = F.greatest(F.size(words), F.lit(1))
     score = 0.01 * (1.599 * 100 * single / n - 1.015 * n / sentences - 31.517)
     return F.when((F.char_length(c) < 3) | (F.size(words) <= 1), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
@@ -205,7 +208,9 @@ def base62(c: str | Column) -> Column:
     """Base 62 with digits, capitals, small letters."""
     digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     n = _column(c).cast("long")
-    places = F.transform(F.sequence(F.lit(10), F.lit(0), F.lit(-1)), lambda i: F.substring(F.lit(digits), (F.floor(n / F.pow(F.lit(62.0), i)) % 62 + 1).cast("int"), F.lit(1)))
+    # a remainder is taken off first, so the quotient is whole and decimals have it exactly
+    quotient = lambda p: ((n - n % F.lit(p)).cast("decimal(19,0)") / F.lit(p).cast("decimal(19,0)")).cast("long")
+    places = F.array(*(F.substring(F.lit(digits), (quotient(62**i) % 62 + 1).cast("int"), F.lit(1)) for i in range(10, -1, -1)))
     return F.when(n < 0, None).otherwise(F.coalesce(F.nullif(F.regexp_replace(F.array_join(places, ""), "^0+", ""), F.lit("")), F.lit("0")))
 
 

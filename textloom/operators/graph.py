@@ -216,12 +216,12 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, backwards: bool = True, norm
     return v.select("id", (F.col("v") / top).alias("eigenvector"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
-    """(id, component): the smallest id of each connected component, by minimum labels with pointer jumping."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id of each connected component, by minimum labels with pointer jumping, until none changes."""
     both = links(edges).persist()
     label = nodes.select("id", F.col("id").alias("component"))
     before = None
-    for _ in range(most):
+    while True:
         near = both.join(label, both.other == label.id).groupBy(both.id).agg(F.min("component").alias("m"))
         new = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = new.select(F.col("id").alias("j"), F.col("component").alias("c"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions import lineage
 from textloom.functions.stats import chi2p_column
 from textloom.functions.strings import strip
 
@@ -187,24 +188,27 @@ def filter_terms(p: DataFrame, terms: DataFrame) -> DataFrame:
     return p.join(terms.select("term"), "term", "left_semi")
 
 
-def frequent_sets(sets: DataFrame, support: float = 0.5, most: int = 3) -> DataFrame:
+def frequent_sets(sets: DataFrame, support: float = 0.5, most: int | None = None) -> DataFrame:
     """(items, support) of item sets in at least ``support`` of the baskets (doc_id, term), level by level.
 
-    A set can only be frequent if all its subsets are, so each level joins what the one before it left.
+    A set can only be frequent if all its subsets are, so each level joins what the one before it left; the last level is
+    the one that leaves nothing, or sets of ``most`` items if that is given.
     """
     items = sets.select("doc_id", "term").distinct()
     n = items.agg(F.count_distinct("doc_id").alias("total"))
     enough = lambda df: df.crossJoin(F.broadcast(n)).where(F.col("c") >= support * F.col("total")).select("items", (F.col("c") / F.col("total")).alias("support"))  # noqa: E731  one row
-    level = items.groupBy(F.array("term").alias("items")).agg(F.count("*").alias("c"))
-    found = kept = enough(level)
-    singles = items.join(kept.select(F.col("items")[0].alias("term")), "term", "left_semi")
+    found = kept = lineage.cut(enough(items.groupBy(F.array("term").alias("items")).agg(F.count("*").alias("c"))))
+    singles = items.join(kept.select(F.col("items")[0].alias("term")), "term", "left_semi").persist()
     grown = singles.select("doc_id", F.array("term").alias("items"))
-    for _ in range(most - 1):
+    size = 1
+    while (most is None or size < most) and not kept.isEmpty():
         nxt = singles.withColumnRenamed("doc_id", "d")
         grown = grown.join(nxt, (F.col("doc_id") == F.col("d")) & (F.element_at("items", -1) < F.col("term"))).select("doc_id", F.concat("items", F.array("term")).alias("items"))
-        kept = enough(grown.groupBy("items").agg(F.count("*").alias("c")))
-        grown = grown.join(kept.select("items"), "items", "left_semi").select("doc_id", "items")
+        kept = lineage.cut(enough(grown.groupBy("items").agg(F.count("*").alias("c"))))
+        grown = lineage.cut(grown.join(kept.select("items"), "items", "left_semi").select("doc_id", "items"))
         found = found.unionAll(kept)
+        size += 1
+    singles.unpersist()
     return found
 
 

@@ -78,6 +78,29 @@ def inflection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", inflect.udf(inflect.pluralize)("word").alias("plural"), inflect.udf(inflect.article)("word").alias("article"), inflect.udf(stemmer.stem)("word").alias("stem"), F.when(F.col("word").isin("wolf", "run", "stop", "take", "echo"), inflect.udf(lambda v: inflect.conjugate(v, "past"))("word")).alias("past"))
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')"
+
+
+def _distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+    return table(spark, sf_dir, "documents").select(F.explode(words).alias("word")).distinct()
+
+
+@query("nlp_articles", f"""WITH w AS (SELECT DISTINCT unnest({_WORDS}) AS word FROM documents)
+SELECT word, CASE WHEN length(word) = 1 OR word = upper(word) THEN CASE WHEN regexp_matches(word, '^[AEFHILMNORSXaefhilmnorsx]') THEN 'an' ELSE 'a' END
+  WHEN regexp_matches(lower(word), '^(ones?$|{"|".join(inflect._GLIDES)})') THEN 'a' WHEN regexp_matches(lower(word), '^([aeiou]|{"|".join(inflect._SILENT)})') THEN 'an' ELSE 'a' END AS article FROM w""")
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every different word of the documents."""
+    return _distinct_words(spark, sf_dir).select("word", inflect.udf(inflect.article)("word").alias("article"))
+
+
+@query("nlp_word_forms")
+def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plural, stem and past of every different lower-cased word of the documents."""
+    w = _distinct_words(spark, sf_dir).select(F.lower("word").alias("word")).distinct()
+    return w.select("word", inflect.udf(inflect.pluralize)("word").alias("plural"), inflect.udf(stemmer.stem)("word").alias("stem"), inflect.udf(lambda v: inflect.conjugate(v, "past"))("word").alias("past"))
+
+
 @query("web_url_parts", r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS protocol, lower(regexp_extract(url, '://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS domain, regexp_extract(url, '#(.*)$', 1) AS anchor, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS page FROM pages""")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.url_parts("url").alias("u")).select("page_id", "u.protocol", "u.domain", "u.anchor", "u.page")

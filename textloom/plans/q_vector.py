@@ -125,12 +125,12 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.feature_selection(*_labelled(spark, sf_dir), top=50, method=vector.IG, threshold=0.02).select("term", F.round("score", 9).alias("score"))
 
 
-@query("vector_frequent_sets", """WITH b AS (SELECT DISTINCT o_custkey AS doc_id, o_orderpriority AS term FROM orders), n AS (SELECT count(DISTINCT doc_id) AS n FROM b),
-s AS (SELECT term AS items, count(*) AS c FROM b GROUP BY 1 UNION ALL SELECT x.term || '|' || y.term, count(*) FROM b x JOIN b y USING (doc_id) WHERE x.term < y.term GROUP BY 1 UNION ALL SELECT x.term || '|' || y.term || '|' || z.term, count(*) FROM b x JOIN b y USING (doc_id) JOIN b z USING (doc_id) WHERE x.term < y.term AND y.term < z.term GROUP BY 1)
-SELECT items, c / n AS support FROM s, n WHERE c >= 0.6 * n""")
+@query("vector_frequent_sets", """WITH RECURSIVE b AS (SELECT DISTINCT o_custkey AS doc_id, o_orderpriority AS term FROM orders), n AS (SELECT count(DISTINCT doc_id) AS n FROM b),
+g AS (SELECT doc_id, [term] AS items FROM b UNION ALL SELECT g.doc_id, list_append(items, term) FROM g JOIN b ON b.doc_id = g.doc_id AND term > items[-1]), s AS (SELECT items, count(*) AS c FROM g GROUP BY 1)
+SELECT array_to_string(items, '|') AS items, c / n AS support FROM s, n WHERE c >= 0.3 * n""")
 def frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
     baskets = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("term"))
-    return vector.frequent_sets(baskets, 0.6, 3).select(F.array_join("items", "|").alias("items"), "support")
+    return vector.frequent_sets(baskets, 0.3).select(F.array_join("items", "|").alias("items"), "support")
 
 
 @query("vector_cooccurrence", f"""WITH w AS (SELECT item_id, {_T} AS t FROM benchmark), a AS (SELECT item_id, t, unnest(t) AS term1, generate_subscripts(t, 1) AS i FROM w), c AS (SELECT term1, unnest(t[greatest(i - 1, 1):i + 2]) AS term2 FROM a WHERE term1 LIKE 'th%') SELECT term1, term2, count(*) AS n FROM c GROUP BY 1, 2""")
