@@ -8,8 +8,8 @@ when it was fetched.  On one date a removal counts after an addition.
 A capture is covered by a rule if one of its keys (its domains, its host, its path's prefixes) equals it, so the join
 is an equi-join on the key with a range condition.  No side is broadcast by hand and the optimiser may split a hot key.
 
-Defined results: a null or unparsable URL has no keys and is allowed; a null fetch time meets no interval; equal captures
-(page_id, url, fetched_at) give one row; an entry with a null field is ignored; empty tables give empty or allowed rows.
+Defined results: a null or unparsable URL has no keys and is allowed; a fetch time that is null or none meets no interval; equal captures
+(page_id, url, fetched_at) give one row; an entry with a null field or a date that is none is ignored; empty tables give empty or allowed rows.
 An active ``allow`` entry overrides ``block`` entries with a shorter or equally long rule.
 """
 
@@ -30,7 +30,7 @@ def host(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals (list_id, kind, rule, policy, valid_from, valid_to); valid_to is null while still active."""
     by = Window.partitionBy("list_id", "policy", "kind", "rule").orderBy("dated", "removal")
-    e = entries.select("list_id", "policy", "kind", F.lower("rule").alias("rule"), F.col("dated").cast("timestamp").alias("dated"), (F.col("action") == "remove").alias("removal")).dropna().distinct()
+    e = entries.select("list_id", "policy", "kind", F.lower("rule").alias("rule"), F.col("dated").try_cast("timestamp").alias("dated"), (F.col("action") == "remove").alias("removal")).dropna().distinct()
     return e.withColumn("valid_to", F.lead("dated").over(by)).where(~F.col("removal")).select("list_id", "policy", "kind", "rule", F.col("dated").alias("valid_from"), "valid_to")
 
 
@@ -48,7 +48,7 @@ def keys(url: Column) -> Column:
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(page_id, url, fetched_at, n_active, blocked, matched) of every distinct capture."""
-    c = captures.select("page_id", "url", F.col("fetched_at").cast("timestamp").alias("fetched_at")).distinct()
+    c = captures.select("page_id", "url", F.col("fetched_at").try_cast("timestamp").alias("fetched_at")).distinct()
     keyed = c.select("*", F.explode_outer(keys(F.col("url"))).alias("key")).select("page_id", "url", "fetched_at", "key.kind", "key.rule")
     # dates are part of the join, so a capture meets only what was active
     k, i = keyed.alias("k"), intervals(entries).alias("i")
