@@ -103,7 +103,7 @@ def readability(c: str | Column) -> Column:
     single = F.size(F.filter(plain, lambda w: vowels(w) <= 1))
     sentences = F.greatest(F.size(F.filter(F.split(c, r"[.!?]"), lambda s: F.char_length(F.trim(s)) > 2)), F.lit(1))
     n = F.greatest(F.size(words), F.lit(1))
-    score = 0.01 * (1.599 * 100 * single / n - 1.015 * n / sentences - 31.517)
+    score = 0.01 * (159.9 * single / n - 1.015 * n / sentences - 31.517)
     return F.when((F.char_length(c) < 3) | (F.size(words) <= 1), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 

@@ -49,7 +49,7 @@ def ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("string_readability", r"""WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
 s AS (SELECT item_id, length(text) AS c, len(w) AS n, len(list_filter(w, lambda x: len(regexp_extract_all(regexp_replace(lower(regexp_replace(x, '^[.,;:!?()\[\]{}`''"@#$^&*+\-|=~_]+|[.,;:!?()\[\]{}`''"@#$^&*+\-|=~_]+$', '', 'g')), 'e$', ''), '[aeiouy]+')) <= 1)) AS mono,
 greatest(len(list_filter(regexp_split_to_array(text, '[.!?]'), lambda x: length(trim(x)) > 2)), 1) AS sentences FROM w)
-SELECT item_id, CASE WHEN c < 3 OR n <= 1 THEN 1.0 ELSE greatest(0.0, least(1.0, 0.01 * (159.9 * mono / n - 1.015 * n / sentences - 31.517))) END AS readability FROM s""")
+SELECT item_id, CASE WHEN c < 3 OR n <= 1 THEN 1.0 ELSE greatest(0.0, least(1.0, 0.01::DOUBLE * (159.9::DOUBLE * mono / n - 1.015::DOUBLE * n / sentences - 31.517::DOUBLE))) END AS readability FROM s""")
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", strings.readability("text").alias("readability"))
 
