@@ -16,6 +16,8 @@ def test_arrays(spark):
     assert one(spark, lists.order(a)) == [2, 1, 3, 0] and one(spark, lists.order(a, reverse=True)) == [0, 1, 3, 2]
     assert one(spark, lists.unique(a)) == ["d", "b", "a"]
     assert one(spark, lists.product(F.array(F.lit("x"), F.lit("y")), 3))[:3] == [["x", "x", "x"], ["x", "x", "y"], ["x", "y", "x"]]
+    assert one(spark, lists.combinations(F.array(F.lit("c"), F.lit("a")), 2)) == [["c", "c"], ["c", "a"], ["a", "c"], ["a", "a"]]
+    assert one(spark, lists.combinations(F.array(F.lit("c"), F.lit("a")), 0)) == [[]]
     assert one(spark, lists.variations(F.array(F.lit("p?"), F.lit("q"), F.lit("r?")), lambda x: x.endswith("?"))) == [["p?", "q", "r?"], ["q", "r?"], ["p?", "q"], ["q"]]
     assert one(spark, lists.softmax(F.array(F.lit(1000.0), F.lit(1000.0)))) == [0.5, 0.5]
     p = one(spark, lists.moved(F.lit(1.0), F.lit(1.0), F.lit(2.0), F.lit(90.0)))

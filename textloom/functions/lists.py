@@ -83,6 +83,11 @@ def product(items: Column, repeat: int = 2) -> Column:
     return out
 
 
+def combinations(items: Column, n: int) -> Column:
+    """All sequences of n items of an array, any of them again and again, in order; one empty sequence if n is 0."""
+    return product(items, n) if n else F.array(F.slice(items, 1, 0))
+
+
 def variations(items: Column, optional: Callable[[Column], Column]) -> Column:
     """All sequences that are left if any of the optional items are taken out; longest first, then in order."""
     start = F.array(F.slice(items, 1, 0))
