@@ -65,6 +65,8 @@ def strip_element(text: str, tag: str) -> str:
 
 
 class _Stripper(HTMLParser):
+    """Takes text in which every & is written &amp;, as the parser loses or completes references that aren't closed."""
+
     def __init__(self, keep: Sequence[str]):
         super().__init__(convert_charrefs=False)
         self.keep, self.out = set(keep), []
@@ -86,15 +88,12 @@ class _Stripper(HTMLParser):
     def handle_entityref(self, name):
         self.out.append(f"&{name};")
 
-    def handle_charref(self, name):
-        self.out.append(f"&#{name};")
-
 
 def strip_tags(text: str, keep: Sequence[str] = ()) -> str:
     s = _Stripper(keep)
-    s.feed(text)
+    s.feed(text.replace("&", "&amp;"))
     s.close()
-    return "".join(s.out)
+    return "".join(s.out).replace("&amp;", "&")
 
 
 def to_plaintext(text: str | None, keep: Sequence[str] = (), linebreaks: int = 2) -> str:

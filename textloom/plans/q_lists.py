@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -283,7 +286,23 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", sources.exists(F.col("status")).alias("found"), sources.mime_type(F.col("header")).alias("type"), sources.redirect(F.col("url"), F.col("location")).alias("leads"))
 
 
-@query("web_sections", r"SELECT page_id, CAST(1 AS INTEGER) AS level, trim(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages WHERE html LIKE '%<h1>%'")
+def _map(entries: dict[str, str]) -> str:
+    return "MAP {" + ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in entries.items()) + "}"
+
+
+#: What stands after an & as text: the longest reference that it begins with, a known name or a number, is decoded once.
+_REFERENCE = r"""CASE WHEN regexp_matches(x, '^#([0-9]|[xX][0-9a-fA-F])') THEN
+  (SELECT CASE WHEN a[m] IS NOT NULL THEN a[m] WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 OR n IS NULL THEN chr(65533) WHEN n BETWEEN 1 AND 8 OR n BETWEEN 14 AND 31 OR n BETWEEN 127 AND 159 OR n = 11 OR n BETWEEN 64976 AND 65007 OR n & 65534 = 65534 THEN '' ELSE chr(CAST(n AS INTEGER)) END
+   FROM (SELECT TRY_CAST(CASE WHEN lower(x[2]) = 'x' THEN '0x' || regexp_extract(x, '^#[xX]([0-9a-fA-F]+)', 1) ELSE regexp_extract(x, '^#([0-9]+)', 1) END AS BIGINT) AS n, CAST(n AS VARCHAR) AS m)) || regexp_replace(x, '^#([xX][0-9a-fA-F]+|[0-9]+);?', '')
+  ELSE coalesce((SELECT e[left(x, k)] || substr(x, k + 1) FROM (SELECT unnest(range(length(regexp_extract(x, '^[^\t\n\f <&#;]{1,32};?')), 1, -1)) AS k) WHERE e[left(x, k)] IS NOT NULL ORDER BY k DESC LIMIT 1), '&' || x) END"""
+_HEADINGS = "|".join(rf"<h{n}\b[^>]*>.*?</h{n}\s*>" for n in range(1, 7))
+
+
+@query("web_sections", rf"""WITH r AS MATERIALIZED (SELECT {_map(html.entities.html5)} AS e, {_map({str(k): v for k, v in html._invalid_charrefs.items() if k})} AS a),
+h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is){_HEADINGS}')) AS heading FROM pages),
+t AS (SELECT row_number() OVER () AS i, page_id, CAST(heading[3] AS INTEGER) AS level, string_split(regexp_replace(regexp_extract(heading, '(?is)^<h[1-6]\b[^>]*>(.*)</h[1-6]\s*>$', 1), '</?[A-Za-z][^>]*>', '', 'g'), '&') AS parts FROM h),
+p AS (SELECT i, unnest(parts[2:]) AS x, unnest(range(2, len(parts) + 1)) AS place FROM t WHERE len(parts) > 1), d AS (SELECT i, string_agg({_REFERENCE}, '' ORDER BY place) AS rest FROM p, r GROUP BY 1)
+SELECT page_id, level, regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array(parts[1] || coalesce(rest, ''), '\r\n?|\n'), lambda x: trim(regexp_replace(regexp_replace(x, '\t+', chr(9), 'g'), '[ \x{{a0}}]+', ' ', 'g'), ' ' || chr(9))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS title FROM t LEFT JOIN d USING (i)""")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.explode(sources.sections("html")).alias("s")).select("page_id", "s.level", "s.title")
     return p.where("level > 0")
