@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from textloom.operators import latent
 from textloom.operators.latent import LatentSemantics
 
 
@@ -33,3 +34,16 @@ def test_low_rank_and_empty(spark):
     assert len(m.sigma) == 1 and abs(m.sigma[0] - np.linalg.norm(one)) < 1e-6
     none = LatentSemantics(k=3).fit(frame(spark, one).limit(0))
     assert len(none.sigma) == 0 and none.documents.count() == none.concepts.count() == 0
+
+
+def test_terms_of_one_document_are_one_column_and_come_apart_again(spark):
+    w = np.array([[2.0, 1.0, 0.5, 3.0, 0, 0], [1.0, 0, 0, 0, 1.5, 0], [0, 1.0, 0, 0, 0, 4.0], [1.0, 1.0, 0, 0, 0, 0]])
+    rows = spark.createDataFrame([(i, f"t{j}", float(w[i, j])) for i in range(4) for j in range(6) if w[i, j]], "doc_id long, term string, w double")
+    single = latent._single(rows)
+    assert sorted((r.term, r.of) for r in single.collect()) == [("t2", "d0"), ("t3", "d0"), ("t4", "d1"), ("t5", "d2")]
+    assert latent._merged(rows, single).select("term").distinct().count() == 5
+    m = latent.LatentSemantics(k=2, extra=2).fit(rows)
+    u, s, vt = np.linalg.svd(w)
+    assert np.allclose(m.sigma, s[:2])
+    got = {r.term: np.abs(r.x) for r in m.concepts.collect()}
+    assert sorted(got) == [f"t{j}" for j in range(6)] and all(np.allclose(got[f"t{j}"], np.abs(vt[:2, j]), atol=1e-6) for j in range(6))

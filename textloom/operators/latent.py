@@ -70,9 +70,9 @@ def _factor(g: np.ndarray) -> np.ndarray:
 
 
 def _orthonormal(tall: DataFrame) -> DataFrame:
-    """Twice, as once loses digits where columns are nearly parallel."""
+    """Twice, as once loses digits where columns are nearly parallel. Rows are multiplied where they are read, not stored anew."""
     for _ in range(2):
-        tall = lineage.cut(_times(tall, _factor(_gram(tall))))
+        tall = _times(tall, _factor(_gram(tall)))
     return tall
 
 
@@ -83,12 +83,40 @@ def _product(weights: DataFrame, by: str, to: str, tall: DataFrame, columns: int
     return sums.select(F.col("to").alias("key"), F.array(*(f"x{i}" for i in range(columns))).alias("x"))
 
 
+def _single(w: DataFrame) -> DataFrame:
+    """(term, doc_id, length, of, share) of terms that one document has, which are parallel columns; ``of`` is what stands for all of a document's."""
+    one = w.groupBy("term").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("w").alias("w")).where("n = 1")
+    length = one.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return one.join(length, "doc_id").select("term", "doc_id", "length", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("of"), (F.col("w") / F.col("length")).alias("share"))
+
+
+def _merged(w: DataFrame, single: DataFrame) -> DataFrame:
+    """Weights with the same singular values and document vectors: a column for all terms that only one document has."""
+    rest = w.join(single.select("term"), "term", "left_anti").select("doc_id", F.concat(F.lit("t"), "term").alias("term"), "w")
+    return rest.unionAll(single.select("doc_id", F.col("of").alias("term"), F.col("length").alias("w")).distinct())
+
+
+def _parted(concepts: DataFrame, single: DataFrame) -> DataFrame:
+    """Concepts of all terms: of a merged column each term has its share."""
+    own = concepts.where(F.col("key").startswith("t")).select(F.substr("key", F.lit(2)).alias("key"), "x")
+    parts = single.join(concepts.where(F.col("key").startswith("d")).withColumnRenamed("key", "of"), "of")
+    return own.unionAll(parts.select(F.col("term").alias("key"), F.transform("x", lambda v: v * F.col("share")).alias("x")))
+
+
 def _noise(key: str, i: int) -> Column:
     """A normal number that follows from a key and a column."""
     uniform = lambda s: (F.pmod(F.xxhash64(key, F.lit(i), F.lit(s)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * np.pi * uniform(2))
 
 
+def _start(terms: DataFrame, single: DataFrame, columns: int) -> DataFrame:
+    """Noise of each term; of a merged column what its terms' noise comes to, so all goes on as if they were apart."""
+    own = terms.where(F.col("key").startswith("t")).select("key", F.substr("key", F.lit(2)).alias("term"))
+    apart = own.select("key", F.array(*(_noise("term", i) for i in range(columns))).alias("x"))
+    sums = single.groupBy(F.col("of").alias("key")).agg(*(F.sum(F.col("share") * _noise("term", i)).alias(f"x{i}") for i in range(columns)))
+    return apart.unionAll(sums.select("key", F.array(*(f"x{i}" for i in range(columns))).alias("x")))
+
+
 class LatentSemantics:
     """Singular values, document vectors (doc_id, x) and concepts (term, x) of weights (doc_id, term, w), largest first.
 
@@ -101,9 +129,15 @@ class LatentSemantics:
 
     def fit(self, weights: DataFrame) -> LatentSemantics:
         w = weights.where("w <> 0").select("doc_id", "term", F.col("w").cast("double").alias("w"))
+        spark = weights.sparkSession
+        tables = lineage.Scratch(spark, "latent")
+        w = tables.put("weights", w)
+        single = tables.put("single", _single(w))
+        w = tables.put("merged", _merged(w, single))
+        tables.drop("weights")
         columns = self.k + self.extra
         terms = w.select(F.col("term").alias("key")).distinct()
-        tall = terms.select("key", F.array(*(_noise("key", i) for i in range(columns))).alias("x"))
+        tall = _start(terms, single, columns)
         self.sigma, self.converged = np.zeros(0), False
         if terms.isEmpty():
             self.documents = weights.select("doc_id").limit(0).withColumn("x", F.array().cast("array<double>"))
@@ -111,9 +145,9 @@ class LatentSemantics:
             self.converged = True
             return self
         for _ in range(self.rounds):
-            q = _orthonormal(lineage.cut(_product(w, "term", "doc_id", tall, columns)))
+            q = _orthonormal(tables.put("left", _product(w, "term", "doc_id", tall, columns)))
             columns = len(q.first().x)
-            right = lineage.cut(_product(w, "doc_id", "term", q, columns))
+            right = tables.put("right", _product(w, "doc_id", "term", q, columns))
             values, vectors = np.linalg.eigh(_gram(right))
             order = np.argsort(-values)[: self.k]
             sigma = np.sqrt(np.maximum(values[order], 0))
@@ -126,7 +160,9 @@ class LatentSemantics:
         good = self.sigma > self.sigma.max(initial=0.0) * 1e-7
         self.sigma, order = self.sigma[good], order[good]
         small = vectors[:, order]
-        concepts = lineage.cut(_times(right, small / self.sigma))
+        concepts = tables.put("concepts", _parted(_times(right, small / self.sigma), single))
+        for name in ("right", "merged", "single"):
+            tables.drop(name)
         signs = np.ones(len(order)) if self.absolute else self._signs(concepts, len(order))
         finish = (lambda x: F.transform(x, F.abs)) if self.absolute else (lambda x: x)
         self.concepts = _times(concepts, np.diag(signs)).select(F.col("key").alias("term"), finish(F.col("x")).alias("x"))
