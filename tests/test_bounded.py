@@ -20,3 +20,14 @@ def test_positions_of_a_term_are_made_where_its_sentence_is(monkeypatch):
     rows = [{"part": 0, "doc_id": i, "sentence": 0, "terms": [["a", "b"], ["a"], [], ["b", "a"]]} for i in range(3)] + [{"part": 1, "doc_id": 9, "sentence": 2, "terms": []}]
     out = [r for b in tokenindex._positions(iter([pa.RecordBatch.from_pylist(rows, kind)])) for r in b.to_pylist()]
     assert sorted((r["doc_id"], r["term"], r["positions"]) for r in out) == sorted((i, t, p) for i in range(3) for t, p in (("a", [0, 1, 3]), ("b", [0, 3])))
+
+
+def test_a_text_without_signs_is_not_cut_into_tokens(spark, monkeypatch):
+    s = nlp.Sentiment({"very": (0.2, 0.3, 1.3), "so bad": (-0.8, 0.8, 1.0)})
+    texts = ["plain words", "So BAD!", "it is :-( now", "(!) well", "every day", None, "not VERY"]
+    want = [s.score([w for x in nlp.tokenize(t or "") for w in x]) for t in texts]
+    calls = []
+    monkeypatch.setattr(nlp, "tokenize", lambda t: calls.append(t) or [t.split()])
+    assert not any(x in "plain words" for x in s.signs()) and nlp.Sentiment({"é": (1.0, 1.0, 1.0)}).signs() is None
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", s.udf()("t").alias("s")).orderBy("i").collect()
+    assert [(r.s.polarity, r.s.subjectivity) for r in got] == want
