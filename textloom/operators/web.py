@@ -9,9 +9,11 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qsl, unquote, urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
@@ -248,14 +250,21 @@ def select(selector: str):
 LINK = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("url", "text", "title", "relation")]))
 
 
-@F.pandas_udf(LINK)
-def links(c: pd.Series, base: pd.Series) -> pd.Series:
+#: Pages that a task has as Python objects at a time.
+FEW = 64
+
+
+@F.arrow_udf(LINK)
+def links(c: pa.Array, base: pa.Array) -> pa.Array:
     """Absolute links of pages."""
 
     def one(text, url):
         return [{"url": urljoin(url or "", n["attributes"]["href"]), "text": n["text"], "title": n["attributes"].get("title", ""), "relation": n["attributes"].get("rel", "")} for n in Dom(text).nodes if n["tag"] == "a" and "href" in n["attributes"]]
 
-    return pd.Series([one(t, u) for t, u in zip(c, base, strict=True)])
+    kind = to_arrow_type(LINK)
+    # pages and links as Python objects only of a few pages at a time
+    parts = [pa.array([one(t.as_py(), u.as_py()) for t, u in zip(c.slice(i, FEW), base.slice(i, FEW), strict=True)], kind) for i in range(0, len(c), FEW)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def normalize(c: Column) -> Column:
