@@ -49,7 +49,9 @@ def build_index(docs: DataFrame, path: str, shards: int = 8, buckets: int = 16)
     blocks = ranged.groupBy("shard", "term", "impact", "range", "block").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
     rows = blocks.select("shard", bucket.alias("bucket"), "term", "impact", F.col("docs")[0].alias("first"), F.element_at("docs", -1).alias("last"), "docs")
     rows.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "term", F.desc("impact"), "first").write.partitionBy("shard", "bucket").option("parquet.block.size", str(4 << 20)).parquet(f"{path}/postings")
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", bucket)
+    # from the index, so texts are cut into terms once
+    written = docs.sparkSession.read.parquet(f"{path}/postings").select("term", F.size("docs").alias("n"))
+    df = written.groupBy("term").agg(F.sum("n").alias("df")).withColumn("bucket", bucket)
     df.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
     n = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().count()
     docs.sparkSession.createDataFrame([(n, shards, buckets)], "n long, shards int, buckets int").coalesce(1).write.parquet(f"{path}/index")
