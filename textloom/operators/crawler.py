@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions import lineage
 from textloom.operators import web
 
 DEPTH, BREADTH = "depth", "breadth"
@@ -52,12 +53,13 @@ class Crawl:
         if delay <= 0 or pace < delay:
             raise ValueError("a round has to be as long as the delay at least")
         self.spark, self.path, self.delay, self.pace = spark, path.rstrip("/"), delay, pace
-        self.pages = pages.select(web.normalize(F.col("url")).alias("url")).distinct()
+        self.pages = lineage.cut(pages.select(web.normalize(F.col("url")).alias("url")).distinct())
         links = links_of(pages) if links is None else links
         for c in ("text", "title", "relation"):
             if c not in links.columns:
                 links = links.withColumn(c, F.lit(None).cast("string"))
-        self.links = links.withColumns({"page": web.normalize(F.col("page")), "url": web.normalize(F.col("url"))}).where("page <> url")
+        # once: each round joins them, and they may have to be cut out of html
+        self.links = lineage.cut(links.withColumns({"page": web.normalize(F.col("page")), "url": web.normalize(F.col("url"))}).where("page <> url"))
         self.follow = F.lit(True) if follow is None else follow
         self.priority = default_priority() if priority is None else priority
         self._jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
