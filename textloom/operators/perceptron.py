@@ -67,7 +67,7 @@ class Online:
     def totals(self) -> Iterable[tuple[str, str, float, float]]:
         """(label, term, weight, sum up to the last error)."""
         for label, weights in self.weights.items():
-            for term, (w, total, at) in weights.items():
+            for term, (w, total, at, *_) in weights.items():
                 yield label, term, w, total + (self.errors - at) * w
 
 
@@ -138,10 +138,8 @@ def _epoch(epoch: int, errors: int, seen: dict[str, int], alone: bool):
     def run(docs: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         rule = Online(errors)
         rule.seen = dict(seen)
-        before: dict[tuple[str, str], tuple[float, float]] = {}
         for label, term, w, total, at in zip(*(state[x] for x in ("label", "term", "w", "total", "at")), strict=True):
-            before[label, term] = (w, total)
-            rule.weights.setdefault(label, {})[term] = [w, total, int(at)]
+            rule.weights.setdefault(label, {})[term] = [w, total, int(at), w, total]  # the last two stay
         out = []
         if len(docs):
             shard = int(docs["shard"].iloc[0])
@@ -150,8 +148,8 @@ def _epoch(epoch: int, errors: int, seen: dict[str, int], alone: bool):
                 rule.learn(terms, label)
             made = rule.errors - errors
             for label, weights in rule.weights.items():
-                for term, (w, total, at) in weights.items():
-                    w0, t0 = before.get((label, term), (0.0, 0.0))
+                for term, (w, total, at, *before) in weights.items():
+                    w0, t0 = before or (0.0, 0.0)
                     if at > errors:  # it changed
                         # what other shards add while this one doesn't change it is added for all: w0 for each error
                         up = total if alone else total + (rule.errors - at) * w - t0 - made * w0
