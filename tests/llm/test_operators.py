@@ -176,6 +176,21 @@ def test_unigram_models_take_the_best_sum_of_scores():
     assert ids(" a") == [4] and ids(" ab") == [0, 3] and ids(" aba") == [4, 5]
 
 
+def test_only_what_may_still_become_a_piece_is_looked_up():
+    asked = []
+
+    class Ids(dict):
+        def __contains__(self, piece):
+            asked.append(piece)
+            return super().__contains__(piece)
+
+    names = ["a", "b", "ab", "bbbbbbbbbbbb"]
+    v = pieces.Vocabulary(Ids({p: i for i, p in enumerate(names)}), dict.fromkeys(names, -1.0) | {"ab": -0.5}, list(range(256)), True, False, [p.encode() for p in names])
+    got = dict(pieces.Encoder(v).encode_sorted(["ab" * 200, "ab" * 200 + "x", "b"]))
+    assert [np.frombuffer(x, np.int32).tolist() for x in got.values()] == [[2] * 200, [2] * 200 + [ord("x")], [1]]
+    assert len(asked) < 700  # 400 ends, 12 possible beginnings each
+
+
 # URL filters
 
 

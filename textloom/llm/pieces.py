@@ -71,9 +71,9 @@ class Vocabulary:
 class Encoder:
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.longest = max(map(len, v.ids), default=1)
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        self.begins = {p[:k] for p in v.ids for k in range(len(p) + 1)} | {""}
         self.coded = {p: i.to_bytes(4, "little") for p, i in v.ids.items()}
         self.split = re.compile(r"\n| +[^ \n]*|[^ \n]+" if not any("\n" in p for p in v.ids) else r" +[^ ]*|[^ ]+")
         if any(" " in p.lstrip(" ") for p in v.ids):
@@ -107,25 +107,32 @@ class Encoder:
     def encode_sorted(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """(word, ids as 4-byte integers) of sorted words, each beginning with the states of the prefix it shares.
 
-        A state is the last piece, where it begins and the score: memory grows with a word's length, not with its square.
+        A state is the last piece, where it begins, the score and how far back a piece may begin that isn't over yet: memory
+        grows with a word's length, not with its square.
         """
-        ids, scores, longest, merges = self.v.ids, self.v.scores, self.longest, self.v.merges
+        ids, scores, merges, begins, fits = self.v.ids, self.v.scores, self.v.merges, self.begins, self.fits
         last: list[str | None] = [None]  # the piece that ends each prefix; None where bytes do, or at the start
-        back, total = [0], [0.0]
+        back, total, reach = [0], [0.0], [0]
         earlier = ""
         for word in words:
             n = 0
             most = min(len(word), len(earlier))
             while n < most and word[n] == earlier[n]:
                 n += 1
-            del last[n + 1 :], back[n + 1 :], total[n + 1 :]
+            del last[n + 1 :], back[n + 1 :], total[n + 1 :], reach[n + 1 :]
+            r = reach[n]
             for end in range(n + 1, len(word) + 1):
                 found, at, best = None, -1, -1e300
-                for begin in range(max(0, end - longest), end):
+                r += 1
+                while word[end - r : end] not in begins:
+                    r -= 1
+                reach.append(r)
+                for begin in range(end - r, end):
                     piece = word[begin:end]
                     if piece in ids:
                         if merges:
-                            if self._follows(last[begin], piece):
+                            ok = fits.get((last[begin], piece))
+                            if self._follows(last[begin], piece) if ok is None else ok:
                                 found, at = piece, begin
                                 break
                         elif total[begin] + scores[piece] > best:
