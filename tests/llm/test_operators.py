@@ -191,6 +191,43 @@ def test_only_what_may_still_become_a_piece_is_looked_up():
     assert len(asked) < 700  # 400 ends, 12 possible beginnings each
 
 
+def test_pieces_are_looked_up_once_for_an_end_not_at_every_place():
+    asked = []
+
+    class Ids(dict):
+        def __contains__(self, piece):
+            asked.append(piece)
+            return super().__contains__(piece)
+
+    r = random.Random(6)
+    names = ["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bb"]
+    v = pieces.Vocabulary(Ids({p: i for i, p in enumerate(names)}), {p: -float(i // 2) for i, p in enumerate(names)}, list(range(256)), True, False, [p.encode() for p in names])
+    words = sorted({"".join(r.choice("abcx") for _ in range(r.randint(1, 40))) for _ in range(500)})
+    one = pieces.Encoder(v)
+    got = dict(one.encode_sorted(words))
+    assert len(asked) <= sum(map(len, one.begins))  # the ends of each beginning of a piece, however long the words are
+    for most in (0, 5):  # what isn't kept is found anew
+        few = pieces.Encoder(v, most)
+        assert dict(few.encode_sorted(words)) == got and few.kept <= most
+
+
+def test_two_pieces_follow_if_merging_gives_them_back():
+    def merged(s, scores):
+        parts = list(s)
+        while True:
+            best = max(((scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in scores), default=None)
+            if best is None:
+                return parts
+            parts[-best[1] : 2 - best[1]] = ["".join(parts[-best[1] : 2 - best[1]])]
+
+    r = random.Random(7)
+    for _ in range(60):
+        names = sorted({"a", "b"} | {"".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(15)})
+        scores = {p: -float(r.randint(0, 8)) for p in names}
+        one = pieces.Encoder(pieces.Vocabulary({p: i for i, p in enumerate(names)}, scores, list(range(256)), True, False, [p.encode() for p in names]))
+        assert all(one.apart(x, y) == (merged(x + y, scores) == [x, y]) for x in names for y in names)
+
+
 # URL filters
 
 

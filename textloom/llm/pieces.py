@@ -10,11 +10,16 @@ piece with which it ends.  For a BPE model the encoding of a prefix is unique an
 piece which is compatible with the last piece of the prefix before it, two pieces being compatible if merging their
 concatenation by rank gives back the two.  So the same recursion gives exactly what merging gives.
 
+The pieces with which a prefix may end follow from its longest end that begins a piece.  These ends are nodes, found when a
+text first has them; a step leads from a node and a character to the next one.  Two pieces are compatible if nothing is
+merged across their border while each side is merged as it would be alone, so a piece's own merges are found once.
+
 Characters without a piece become the pieces of their UTF-8 bytes.  Encoding is reversible: U+2581 in a text, which a
 model takes for a space, goes by its bytes.  ``decode`` gives back the text.
 
 Defined results: a null or empty text has no pieces; repeated rows are encoded each; other columns are kept; an empty
-table gives no row.  A worker keeps the words it has encoded, about ``keep`` bytes of them at most, then starts anew.
+table gives no row.  A task keeps the words it has encoded, about ``keep`` bytes of them at most, then starts anew; a
+worker keeps a bounded number of steps and answers about two pieces for its next tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,7 @@ from textloom.llm.words import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK = "▁"
+_NEVER = float("-inf")
 
 
 @dataclass
@@ -67,85 +74,150 @@ class Vocabulary:
                 texts.append(b"")
         return cls(ids, scores, bytes_, model.trainer_spec.model_type == 2, model.normalizer_spec.add_dummy_prefix, texts)
 
+    @cached_property
+    def encoder(self) -> Encoder:
+        """One for all tasks of a worker: it keeps the broadcast value, and with it what was found out about pieces."""
+        return Encoder(self)
+
+
+class _Node:
+    """The longest end of a prefix that begins a piece; ``ends``: the pieces with which the prefix may end, longest first.
+
+    Each is (length, piece, its id as 4 bytes, the pieces before it that were asked for: whether it follows).
+    """
+
+    __slots__ = ("text", "ends", "next")
+
+    def __init__(self, text: str, ends: list[tuple[int, str, bytes, dict[str | None, bool]]]):
+        self.text, self.ends = text, ends
+        self.next: dict[str, _Node] = {}
+
 
 class Encoder:
-    def __init__(self, v: Vocabulary):
+    def __init__(self, v: Vocabulary, most: int = 500_000):
         self.v = v
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.most = most  # so many steps between nodes and answers about two pieces are kept; others are found anew each time
         self.begins = {p[:k] for p in v.ids for k in range(len(p) + 1)} | {""}
         self.coded = {p: i.to_bytes(4, "little") for p, i in v.ids.items()}
         self.split = re.compile(r"\n| +[^ \n]*|[^ \n]+" if not any("\n" in p for p in v.ids) else r" +[^ ]*|[^ ]+")
         if any(" " in p.lstrip(" ") for p in v.ids):
             self.split = re.compile(r"(?s).+")  # pieces that span words: a text is one word
+        self.mergings: dict[str, tuple[list[tuple[float, str]], list[tuple[float, str]]] | None] = {}  # of pieces: as many as the model has
+        self.forget()
 
-    def merged(self, s: str) -> list[str]:
-        """Merging by rank, leftmost first among equals; for short strings."""
-        parts, scores = list(s), self.v.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = scores.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r > best):
-                    best, at = r, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def forget(self) -> None:
+        """Drop what was found out about pieces so far."""
+        self.nodes: dict[str, _Node] = {}
+        self.follows: dict[str, dict[str | None, bool]] = {}
+        self.kept = 0
+
+    def _merging(self, piece: str) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
+        """How merging by rank, leftmost first among equals, makes a piece of its characters; None if it doesn't.
+
+        For each merge its score with the first part that there was before it, and with the last; at the end comes no merge.
+        """
+        if piece not in self.mergings:
+            parts, scores, first, last = list(piece), self.v.scores, [], []
+            ranks = [scores.get(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+            while True:
+                best = max(ranks, default=_NEVER)
+                first.append((best, parts[0])), last.append((best, parts[-1]))
+                if best == _NEVER:
+                    break
+                i = ranks.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = scores.get(parts[i - 1] + parts[i], _NEVER)
+                if i < len(ranks):
+                    ranks[i] = scores.get(parts[i] + parts[i + 1], _NEVER)
+            self.mergings[piece] = (first, last) if len(parts) == 1 else None
+        return self.mergings[piece]
+
+    def apart(self, before: str, piece: str) -> bool:
+        """Whether merging two pieces' characters gives back the two: each side goes its own way as long as nothing is merged across."""
+        left, right, scores = self._merging(before), self._merging(piece), self.v.scores
+        if left is None or right is None:
+            return False
+        ends, begins = iter(left[1]), iter(right[0])
+        (mine, end), (other, begin) = next(ends), next(begins)
+        while True:
+            across = scores.get(end + begin, _NEVER)
+            if across > mine and across >= other:
+                return False
+            if mine == other == _NEVER:
+                return True
+            if mine >= other:
+                mine, end = next(ends)
+            else:
+                other, begin = next(begins)
 
     def _follows(self, before: str | None, piece: str) -> bool:
-        if before is None:
-            ok = self.whole.get(piece)
-            if ok is None:
-                ok = self.whole[piece] = self.merged(piece) == [piece]
-            return ok
-        ok = self.fits.get((before, piece))
-        if ok is None:
-            ok = self.fits[before, piece] = self.merged(before + piece) == [before, piece]
+        ok = self._merging(piece) is not None if before is None else self.apart(before, piece)
+        if self.kept < self.most:
+            self.follows[piece][before] = ok
+            self.kept += 1
         return ok
 
+    def _node(self, text: str) -> _Node:
+        node = self.nodes.get(text)
+        if node is None:
+            ends = [text[i:] for i in range(len(text)) if text[i:] in self.v.ids]
+            node = self.nodes[text] = _Node(text, [(len(p), p, self.coded[p], self.follows.setdefault(p, {})) for p in ends])
+        return node
+
+    def _step(self, node: _Node, char: str) -> _Node:
+        text = node.text + char
+        while text not in self.begins:
+            text = text[1:]
+        to = self._node(text)
+        if self.kept < self.most:
+            node.next[char] = to
+            self.kept += 1
+        return to
+
     def encode_sorted(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """(word, ids as 4-byte integers) of sorted words, each beginning with the states of the prefix it shares.
 
-        A state is the last piece, where it begins, the score and how far back a piece may begin that isn't over yet: memory
-        grows with a word's length, not with its square.
+        A state is the last piece, its length, its ids, the score and the node of what isn't over yet: memory grows with a
+        word's length, not with its square.
         """
-        ids, scores, merges, begins, fits = self.v.ids, self.v.scores, self.v.merges, self.begins, self.fits
+        merges, scores, bytes_ = self.v.merges, self.v.scores, self.v.bytes_
         last: list[str | None] = [None]  # the piece that ends each prefix; None where bytes do, or at the start
-        back, total, reach = [0], [0.0], [0]
+        size, coded, total, nodes = [0], [b""], [0.0], [self._node("")]
         earlier = ""
         for word in words:
             n = 0
-            most = min(len(word), len(earlier))
-            while n < most and word[n] == earlier[n]:
+            for a, b in zip(word, earlier):
+                if a != b:
+                    break
                 n += 1
-            del last[n + 1 :], back[n + 1 :], total[n + 1 :], reach[n + 1 :]
-            r = reach[n]
-            for end in range(n + 1, len(word) + 1):
-                found, at, best = None, -1, -1e300
-                r += 1
-                while word[end - r : end] not in begins:
-                    r -= 1
-                reach.append(r)
-                for begin in range(end - r, end):
-                    piece = word[begin:end]
-                    if piece in ids:
-                        if merges:
-                            ok = fits.get((last[begin], piece))
-                            if self._follows(last[begin], piece) if ok is None else ok:
-                                found, at = piece, begin
-                                break
-                        elif total[begin] + scores[piece] > best:
-                            found, at, best = piece, begin, total[begin] + scores[piece]
-                if found is not None:
-                    last.append(found), back.append(at), total.append(best)
+            del last[n + 1 :], size[n + 1 :], coded[n + 1 :], total[n + 1 :], nodes[n + 1 :]
+            node = nodes[n]
+            for char in word[n:]:
+                node = node.next.get(char) or self._step(node, char)
+                nodes.append(node)
+                found = None
+                if merges:
+                    for k, piece, ids, follows in node.ends:
+                        before = last[-k]
+                        ok = follows.get(before)
+                        if self._follows(before, piece) if ok is None else ok:
+                            found = piece
+                            break
                 else:
-                    last.append(None), back.append(end - 1), total.append(total[end - 1] - 1e6)
+                    best = -1e300
+                    for k_, piece, ids_, _ in node.ends:
+                        if total[-k_] + scores[piece] > best:
+                            found, best, k, ids = piece, total[-k_] + scores[piece], k_, ids_
+                    total.append(total[-1] - 1e6 if found is None else best)
+                if found is None:
+                    k, ids = 1, b"".join(bytes_[b].to_bytes(4, "little") for b in char.encode())
+                last.append(found), size.append(k), coded.append(ids)
             earlier, end, path = word, len(word), []
             while end:
-                piece = last[end]
-                path.append(self.coded[piece] if piece is not None else b"".join(self.v.bytes_[b].to_bytes(4, "little") for b in word[end - 1].encode()))
-                end = back[end]
+                path.append(coded[end])
+                end -= size[end]
             path.reverse()
             yield word, b"".join(path)
 
@@ -159,14 +231,16 @@ class Encoder:
 
 def _encoded(sent, keep: int, others: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known, size = Encoder(sent.value), {}, 0
+        encoder, known, size = sent.value.encoder, {}, 0
         for part in slices(batches, "text"):
             texts = [x or "" for x in part.column("text").to_pylist()]
             words = [encoder.words(x) for x in texts]
-            new = {w for ws in words for w in ws if w not in known}
+            if encoder.kept >= encoder.most:
+                encoder.forget()
+            new = {w for w in set().union(*words) if w not in known}
             if size + sum(map(len, new)) + 50 * len(new) > keep:
-                known.clear(), encoder.fits.clear()
-                new, size = {w for ws in words for w in ws}, 0
+                known.clear()
+                new, size = set().union(*words), 0
             size += sum(map(len, new)) + 50 * len(new)
             known.update(encoder.encode_sorted(sorted(new)))
             data = [b"".join(map(known.__getitem__, ws)) for ws in words]
@@ -194,7 +268,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     encoded = encoded.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = sent.value.encoder
         for batch in batches:
             texts = [encoder.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
