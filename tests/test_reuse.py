@@ -40,6 +40,6 @@ def test_rows_of_one_id_are_one_document_and_nulls_have_no_links(spark):
 def test_a_common_line_gives_a_row_for_each_document_not_for_each_pair(spark, tmp_path):
     rows = [(i, f"number {i} has this line that all of them have") for i in range(80)] + [(80, None), (81, "short")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = catalog.queries()["vector_intertextuality"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["vector_text_reuse"](spark, str(tmp_path)).collect()
     assert len(got) == 82
     assert {(x.class_id, x.n_links, x.closest, x.weight) for x in got if x.doc_id < 80} == {(0, 79, 0, 4 / 6)}
